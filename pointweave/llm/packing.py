@@ -7,7 +7,9 @@ first bin with room, found in a tournament tree of the bins' free capacities.
 
 from __future__ import annotations
 
+import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,40 +31,66 @@ _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: Fixed value: the pre-tokenizer of byte-level BPE files of this kind.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+#: The one special token of such a file; in a text its string is ordinary text.
+END_TEXT = "<|endoftext|>"
+
+
+def byte_signs() -> dict[str, int]:
+    """The byte for each character by which such a file writes bytes: itself if visible, else from U+0100 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
+
+
+#: ASCII letters, digits and other visible characters; 0 for the apostrophe and all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x27] = 0
+
+
 class Tokens:
     """Token ids of texts by a byte-level BPE of ``tokenizers``.
 
-    Such a tokenizer cuts a text before each run of blanks' last character and,
-    unless that is a space, after it; no piece of it crosses such a border. So
-    each distinct chunk is encoded once and remembered. Texts with other white
-    space are encoded whole.
+    Such a tokenizer first cuts a text before each run of blanks' last character
+    and, unless that is a space, after it, and between ASCII letters, digits and
+    other signs; no token crosses such a border. So each distinct chunk is encoded
+    once and remembered. Texts with other white space are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)["model"]["vocab"]
+        signs = byte_signs()
+        ranks = {bytes(map(signs.__getitem__, token)): rank for token, rank in known.items() if token != END_TEXT}
+        self.model = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at, self.size = [0], [0]
-        self.used = 0
+        self.flat = np.zeros(0, np.uint32)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return list(map(self.model.encode_ordinary, texts))
 
     def _learn(self, keys: list[int], chunks: list[bytes]) -> None:
-        for key, ids in zip(keys, self.encode([c.decode() for c in chunks]), strict=True):
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.place[key] = len(self.at)
-            self.at.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        if not keys:
+            return
+        found = self.encode([c.decode() for c in chunks])
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.place.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and their n + 1 offsets."""
@@ -78,6 +106,8 @@ class Tokens:
         tail = blank & after & ~last  # the last blank before a word
         cut = first | (blank & before) | tail
         cut[1:] |= tail[:-1] & (data[:-1] != 0x20)
+        kind = _KIND[data]
+        cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys, where, inverse = np.unique(hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
@@ -89,7 +119,7 @@ class Tokens:
             [keys[k] for k in new], [data[starts[where[k]] : ends[where[k]]].tobytes() for k in new]
         )
         slot = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse.reshape(-1)]
-        size, origin = np.asarray(self.size, np.int64)[slot], np.asarray(self.at, np.int64)[slot]
+        size, origin = self.size[slot], self.at[slot]
         sums = np.append(0, np.cumsum(size))
         flat = self.flat[np.repeat(origin - sums[:-1], size) + np.arange(sums[-1])]
         bounds = sums[np.searchsorted(starts, at)]
