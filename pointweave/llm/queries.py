@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointweave.llm.langid import identify_languages, train_text_model
+
+    model = train_text_model(_table(spark, sf_dir, "documents"))
+    return identify_languages(_table(spark, sf_dir, "pages"), model)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointweave.llm.toxicity import judged_labels, score_toxicity, train_chain
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = train_chain(docs, judged_labels(_table(spark, sf_dir, "labels")), ["low_quality", "toxic"])
+    out = score_toxicity(docs, chain)
+    return out.select("doc_id", "p_low_quality", "p_toxic", "toxic", (~F.col("toxic")).alias("kept"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointweave.llm.decontaminate import find_contamination
 
@@ -58,6 +74,45 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointweave.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=20)
+
+
+def _spans_text(spans: str) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointweave.llm.pii import KINDS, find_personal_data
+
+    out = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
+    return out.select(
+        "doc_id", *counts, F.sha2(_spans_text("base_spans"), 256).alias("base_sha256"), _spans_text("spans").alias("spans")
+    )
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointweave.llm.html_extract import extract_main_text
+
+    out = extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointweave.llm.near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=5, share=0.75)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointweave.llm.packing import pack_documents
 
@@ -71,8 +126,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_langid": op2_langid,
+        "op3_toxicity": op3_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_url_filter": op5_url_filter,
+        "op6_nearest": op6_nearest,
+        "op7_pii": op7_pii,
+        "op8_main_text": op8_main_text,
+        "op9_near_dup": op9_near_dup,
         "op10_packing": op10_packing,
     }
 
@@ -149,5 +210,48 @@ FROM p
 """
 
 
+_OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 20
+"""
+
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + least(5, len(words)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a
+), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1_SQL, "op4_decontaminate": _OP4_SQL, "op5_url_filter": _OP5_SQL}
+    return {
+        "op1_line_dedup": _OP1_SQL,
+        "op4_decontaminate": _OP4_SQL,
+        "op5_url_filter": _OP5_SQL,
+        "op6_nearest": _OP6_SQL,
+        "op9_near_dup": _OP9_SQL,
+    }
