@@ -1 +1 @@
-
+"""Neighbours, smoothing, density, interpolation and deposits as DataFrame plans."""

@@ -1 +1 @@
-
+"""The registered point-cloud queries and their SQL."""

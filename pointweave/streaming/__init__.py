@@ -1 +1 @@
-
+"""Deposits of particle streams."""
