@@ -10,7 +10,7 @@ confirmed on their full shingle sets.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict, deque
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +25,47 @@ from pointweave.llm.components import connected_components
 #: Trees, and minhashes that order each. A pair at similarity 0.75 misses the two
 #: leading minhashes of all twelve trees with probability (1 - 0.75**2)**12 = 5e-5.
 TREES, DEPTH, LEAST_DEPTH = 12, 6, 2
-#: Neighbours compared in the first pass; later passes compare so many of every
-#: other component, of the last COMPONENTS met.
-NEIGHBOURS, PER_COMPONENT, COMPONENTS = 16, 8, 64
-#: The estimate from 72 minhashes has a deviation of 0.05 at 0.75: this is 4 below.
-LEAST_ESTIMATE = 0.54
+#: Preceding neighbours compared in the first pass, and in later ones, which leave out
+#: those of the same component.
+NEIGHBOURS, LATER_NEIGHBOURS = 16, 2048
+#: Minhashes in all; the low four bits of each make the sketch that estimates similarity.
+#: Its deviation is 0.027 at 0.75, so what is confirmed starts four deviations below.
+MINHASHES, LEAST_ESTIMATE = 288, 0.645
+#: Of one document's candidates in other components so many of the best are confirmed in a
+#: pass, at most TREE_BEST of each tree; the next pass goes on with the rest.
+PASS_BEST, TREE_BEST = 16, 4
 #: Ids of candidate documents that are broadcast (8 bytes each); more are shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 
-_COUNT = TREES * DEPTH
 _RANDOM = np.random.default_rng(20240229)
-_MASKS = _RANDOM.integers(0, 1 << 32, _COUNT, np.uint64).astype(np.uint32)
-_ODD = _RANDOM.integers(0, 1 << 31, _COUNT, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _RANDOM.integers(0, 1 << 32, MINHASHES, np.uint64).astype(np.uint32)
+_ODD = _RANDOM.integers(0, 1 << 31, MINHASHES, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+#: Equal four-bit halves of two bytes, by their exclusive or.
+_EQUAL = np.array([(x & 0xF0 == 0) + (x & 0x0F == 0) for x in range(256)], np.uint8)
 
 
 def minhashes(found: np.ndarray) -> np.ndarray:
     """The minima of the hash functions over one set of 64-bit shingles."""
     x = (found >> np.uint64(32)).astype(np.uint32)
-    best = np.full(_COUNT, 0xFFFFFFFF, np.uint32)
-    for low in range(0, len(x), 2048):
-        part = (x[low : low + 2048, None] ^ _MASKS) * _ODD
+    best = np.full(MINHASHES, 0xFFFFFFFF, np.uint32)
+    for low in range(0, len(x), 1024):
+        part = x[low : low + 1024, None] ^ _MASKS
+        part *= _ODD
         np.minimum(best, part.min(axis=0), out=best)
     return best
 
 
+def sketch_of(minima: np.ndarray) -> np.ndarray:
+    low = (minima & np.uint32(15)).astype(np.uint8)
+    return low[0::2] << 4 | low[1::2]
+
+
+def estimates(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Similarities estimated from sketches; unequal minima agree in four bits once in 16 times."""
+    same = _EQUAL[sketches ^ one].sum(axis=1) / MINHASHES
+    return (same - 1 / 16) * (16 / 15)
+
+
 def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     base = docs.select(F.col(name(id_col)).alias("id"), F.col(name(text_col)).alias("text"))
     schema = T.StructType(
@@ -66,8 +83,8 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
                     best = minhashes(found)
                     count.append(len(found))
                     digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    mins.append(best.astype(">u4").tobytes())
-                    sketch.append(best.astype(np.uint8).tobytes())
+                    mins.append(best[: TREES * DEPTH].astype(">u4").tobytes())
+                    sketch.append(sketch_of(best).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
@@ -93,7 +110,9 @@ class _Region:
     def __init__(self, first_pass: bool):
         self.first_pass = first_pass
         self.recent: deque = deque(maxlen=NEIGHBOURS)
-        self.groups: OrderedDict = OrderedDict()
+        self.nodes: list = []
+        self.components = np.zeros(LATER_NEIGHBOURS if not first_pass else 0, object)
+        self.sketches = np.zeros((len(self.components), MINHASHES // 2), np.uint8)
         self.labels = 0
 
     def add(self, node, component, sketch: np.ndarray):
@@ -103,7 +122,7 @@ class _Region:
         label = self.labels = self.labels + 1
         out = []
         if self.recent:
-            like = (np.stack([r[2] for r in self.recent]) == sketch).mean(axis=1)
+            like = estimates(np.stack([r[2] for r in self.recent]), sketch)
             for k in np.argsort(-like, kind="stable"):
                 if like[k] < LEAST_ESTIMATE:
                     break
@@ -119,19 +138,27 @@ class _Region:
 
     def _later(self, node, component, sketch):
         out = []
-        rest = [r for c, rows in self.groups.items() if c != component for r in rows]
-        if rest:
-            like = (np.stack([r[1] for r in rest]) == sketch).mean(axis=1)
-            out = [(rest[k][0], node, float(like[k])) for k in np.flatnonzero(like >= LEAST_ESTIMATE)]
-        self.groups.setdefault(component, deque(maxlen=PER_COMPONENT)).append((node, sketch))
-        self.groups.move_to_end(component)
-        if len(self.groups) > COMPONENTS:
-            self.groups.popitem(last=False)
+        n = len(self.nodes)
+        other = np.flatnonzero(self.components[:n] != component)
+        if len(other):
+            like = estimates(self.sketches[other], sketch)
+            for k in np.argsort(-like, kind="stable")[:TREE_BEST]:
+                if like[k] >= LEAST_ESTIMATE:
+                    out.append((self.nodes[other[k]], node, float(like[k])))
+        if n < LATER_NEIGHBOURS:
+            at = n
+            self.nodes.append(node)
+        else:
+            at = self.labels % LATER_NEIGHBOURS  # the oldest goes
+            self.labels += 1
+            self.nodes[at] = node
+        self.components[at], self.sketches[at] = component, sketch
         return out
 
 
 def _candidates(nodes: DataFrame, first_pass: bool) -> DataFrame:
-    """(a, b, estimate) of neighbours in some tree; ``nodes``: node, component, mins, sketch."""
+    """(a, b, estimate) of neighbours in some tree: node b and its candidate a; ``nodes`` has
+    node, component, mins and sketch."""
     width = 4 * DEPTH
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.select("node", "component", "mins", "sketch", tree.alias("tree"))
@@ -147,7 +174,11 @@ def _candidates(nodes: DataFrame, first_pass: bool) -> DataFrame:
     )
     kind = nodes.schema["node"].dataType
     schema = T.StructType(
-        [T.StructField("a", kind), T.StructField("b", kind), T.StructField("estimate", T.DoubleType())]
+        [
+            T.StructField("a", kind),
+            T.StructField("b", kind),
+            T.StructField("estimate", T.DoubleType()),
+        ]
     )
 
     def run(batches):
@@ -184,10 +215,24 @@ def _candidates(nodes: DataFrame, first_pass: bool) -> DataFrame:
                     [pa.array(a, ids.type), pa.array(b, ids.type), pa.array(e, pa.float64())], names=schema.names
                 )
 
-    found = ordered.mapInArrow(run, schema)
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.max("estimate").alias("estimate")
+    return ordered.mapInArrow(run, schema)
+
+
+def _pairs(nodes: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The distinct pairs (a < b) to confirm in this pass; ``tried`` is None in the first."""
+    found = _candidates(nodes, tried is None).filter(F.col("a") != F.col("b"))
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    if tried is None:
+        return found.select(*ordered).distinct()
+    keyed = found.select(*ordered, "estimate", F.col("a").alias("candidate"), F.col("b").alias("node"))
+    best = (
+        keyed.join(tried, ["a", "b"], "left_anti")
+        .groupBy("node")
+        # each tree gives a node at most TREE_BEST of them
+        .agg(F.slice(F.sort_array(F.collect_set(F.struct("estimate", "candidate")), False), 1, PASS_BEST).alias("best"))
+        .select("node", F.explode("best.candidate").alias("candidate"))
     )
+    return best.select(F.least("node", "candidate").alias("a"), F.greatest("node", "candidate").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
@@ -261,15 +306,12 @@ def near_duplicates(
             placed = nodes.withColumn("component", F.col("node"))
         else:
             placed = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-        pairs = _candidates(placed, first_pass)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.filter(F.col("a") != F.col("b")))
+        pairs = materialize(_pairs(placed, tried))
         fresh = _confirmed(pairs, texts, size, share)
         found = not fresh.isEmpty()
         if first_pass or found:
             links = fresh if links is None else materialize(links.union(fresh))
-            tried = pairs.select("a", "b") if tried is None else materialize(tried.union(pairs.select("a", "b")))
+            tried = pairs if tried is None else materialize(tried.union(pairs))
             forget(roots)
             roots = connected_components(links)
         if not found:
