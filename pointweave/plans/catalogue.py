@@ -287,7 +287,8 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     def _plain(column: str) -> str:
         # components of the vector field are called v_0, ...: name them as the table does
         for j, a in enumerate(AXES):
-            column = column.replace(f"v_{j}", f"v{a}")
+            if column == f"v_{j}" or column.startswith(f"v_{j}_"):
+                return f"v{a}" + column[3:]
         return column
 
     for structure, short in (("isotropic", "iso"), ("covariant", "cov")):
@@ -319,7 +320,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     for name in RADIAL:
         kernel = get_kernel(name)
         step = num(2.0 * kernel.support / 100)
-        value = f"round({num(kernel.sigma(1))} * ({kernel.value('q', 1)}), 6)"
+        value = f"round({num(kernel.sigma(1))} * ({kernel.value('q', 1)}), 9)"
         position = f"(-({num(kernel.support)})) + CAST(i AS DOUBLE) * {step}"
 
         def shape(spark, sf_dir, position=position, value=value):
