@@ -24,22 +24,44 @@ from pointweave.llm._text import steps
 #: Labelled rows a chain is trained on at most, by a hash of their ids, and the
 #: features chosen for each category. Together they bound what the driver holds.
 MAX_ROWS, MAX_FEATURES = 8000, 2000
-FOLDS, ROUNDS, RIDGE = 4, 150, 2e-4
+FOLDS, ROUNDS, RIDGE = 4, 150, 1e-3
+#: Rows added to each share of a log-ratio, and the weight that all ratios start from.
+SMOOTH, START = 0.3, 0.12
 #: Rows with a feature, at least.
 LEAST_ROWS = 3
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5, 6)
+#: A feature also tells whether it occurs twice, and whether it does in so large a share of the words.
+DENSE = 1 / 200
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose features a task remembers.
 _REMEMBERED = 400_000
 
 
-def features_of(word: str) -> tuple[str, ...]:
+def parts_of(word: str) -> tuple[str, ...]:
     """A word and its first letters, which it shares with its other forms."""
-    return (word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n))
+    return (word, *(word[:n] + "-" for n in PREFIXES if len(word) > n))
 
 
-def _words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def _words(text: str | None) -> Counter:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def levels(count: int, total: int) -> tuple[str, ...]:
+    """What a part's count says: it occurs, occurs twice, and is dense."""
+    if count < 2:
+        return ("1",)
+    return ("1", "2", "%") if count >= DENSE * total else ("1", "2")
+
+
+def features_of(text: str | None) -> set[str]:
+    """All features of a whole text: parts of words, with their levels."""
+    found = _words(text)
+    counts: Counter = Counter()
+    for word, n in found.items():
+        for part in parts_of(word):
+            counts[part] += n
+    total = sum(found.values())
+    return {part + level for part, n in counts.items() for level in levels(n, total)}
 
 
 @dataclass
@@ -50,18 +72,25 @@ class Chain:
     index: dict[str, int]
     weights: list[np.ndarray] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.parts = {f[:-1] for f in self.index}
+
     def active(self, text: str | None, memory: dict) -> np.ndarray:
-        """The distinct chosen features of the whole text."""
-        found: set[int] = set()
-        for word in _words(text):
-            at = memory.get(word)
-            if at is None:
-                at = tuple(self.index[f] for f in features_of(word) if f in self.index)
+        """The chosen features of the whole text, ascending."""
+        found = _words(text)
+        known = self.parts
+        counts: dict[str, int] = {}
+        for word, n in found.items():
+            own = memory.get(word)
+            if own is None:
+                own = tuple(p for p in parts_of(word) if p in known)
                 if len(memory) < _REMEMBERED:
-                    memory[word] = at
-            if at:
-                found.update(at)
-        return np.fromiter(sorted(found), np.int64, len(found))
+                    memory[word] = own
+            for part in own:
+                counts[part] = counts.get(part, 0) + n
+        total = sum(found.values())
+        at = [self.index.get(part + level) for part, n in counts.items() for level in levels(n, total)]
+        return np.array(sorted(k for k in at if k is not None), np.int64)
 
     def predict(self, active: np.ndarray) -> list[float]:
         n = len(self.index)
@@ -73,22 +102,31 @@ class Chain:
 
 
 def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Ridge logistic regression on sparse 0/1 features, dense extras and a bias, by Adam."""
+    """Logistic regression on sparse 0/1 features, dense extras and a bias, by Adam.
+
+    Each feature is scaled by the log-ratio of its smoothed shares among positive
+    and negative rows, and weights start, and are drawn back, to a common positive
+    value: with few rows the model leans on these ratios, with many on the fit.
+    """
     at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     dense = np.column_stack([np.ones(len(rows)), extra])
-    w, m, v = np.zeros(n + dense.shape[1]), 0.0, 0.0
     if not len(rows):
-        return w
+        return np.zeros(n + dense.shape[1])
+    good, every = np.bincount(at, y[of], n), np.bincount(at, minlength=n)
+    ratio = np.log((good + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log(
+        (every - good + SMOOTH) / (len(y) - y.sum() + 2 * SMOOTH)
+    )
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    w[n] = math.log(share / (1 - share))
+    home = np.concatenate([np.full(n, START), [math.log(share / (1 - share))], np.zeros(extra.shape[1])])
+    w, m, v = home.copy(), 0.0, 0.0
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(of, w[at], len(rows)) + dense @ w[n:]
+        z = np.bincount(of, (w[:n] * ratio)[at], len(rows)) + dense @ w[n:]
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-        slope = np.concatenate([np.bincount(at, off[of], n), dense.T @ off]) + RIDGE * w
+        slope = np.concatenate([np.bincount(at, off[of], n) * ratio, dense.T @ off]) + RIDGE * (w - home)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        w = w - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return np.concatenate([w[:n] * ratio, w[n:]])
 
 
 def _odds(rows: list[np.ndarray], extra: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -148,7 +186,7 @@ def train_chain(
         for batch in batches:
             ys = [batch.column(f"y{k}").to_pylist() for k in range(n)]
             for j, text in enumerate(batch.column("text")):
-                found = {f for w in _words(text.as_py()) for f in features_of(w)}
+                found = features_of(text.as_py())
                 total.update(found)
                 for k in range(n):
                     if ys[k][j]:
