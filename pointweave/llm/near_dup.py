@@ -32,8 +32,11 @@ NEIGHBOURS, LATER_NEIGHBOURS = 16, 2048
 #: Its deviation is 0.027 at 0.75, so what is confirmed starts four deviations below.
 MINHASHES, LEAST_ESTIMATE = 288, 0.645
 #: Of one document's candidates in other components so many of the best are confirmed in a
-#: pass, at most TREE_BEST of each tree; the next pass goes on with the rest.
-PASS_BEST, TREE_BEST = 16, 4
+#: pass, at most TREE_BEST of each tree. After a pass without a link that left some out, the
+#: next takes GROWTH times as many, until all that are not yet joined have been confirmed.
+PASS_BEST, TREE_BEST, GROWTH = 16, 4, 8
+#: Candidates a task gathers before it hands them on.
+OUT_ROWS = 50_000
 #: Ids of candidate documents that are broadcast (8 bytes each); more are shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -107,8 +110,8 @@ class _Region:
     proposed again in the next pass, between components.
     """
 
-    def __init__(self, first_pass: bool):
-        self.first_pass = first_pass
+    def __init__(self, first_pass: bool, best: int):
+        self.first_pass, self.best = first_pass, best
         self.recent: deque = deque(maxlen=NEIGHBOURS)
         self.nodes: list = []
         self.components = np.zeros(LATER_NEIGHBOURS if not first_pass else 0, object)
@@ -142,9 +145,11 @@ class _Region:
         other = np.flatnonzero(self.components[:n] != component)
         if len(other):
             like = estimates(self.sketches[other], sketch)
-            for k in np.argsort(-like, kind="stable")[:TREE_BEST]:
-                if like[k] >= LEAST_ESTIMATE:
-                    out.append((self.nodes[other[k]], node, float(like[k])))
+            good = np.flatnonzero(like >= LEAST_ESTIMATE)
+            good = good[np.argsort(-like[good], kind="stable")]
+            out += [(self.nodes[other[k]], node, float(like[k])) for k in good[: self.best]]
+            if len(good) > self.best:
+                out.append((None, node, None))
         if n < LATER_NEIGHBOURS:
             at = n
             self.nodes.append(node)
@@ -156,9 +161,9 @@ class _Region:
         return out
 
 
-def _candidates(nodes: DataFrame, first_pass: bool) -> DataFrame:
+def _candidates(nodes: DataFrame, first_pass: bool, best: int) -> DataFrame:
     """(a, b, estimate) of neighbours in some tree: node b and its candidate a; ``nodes`` has
-    node, component, mins and sketch."""
+    node, component, mins and sketch. A null a says that b has more than the ``best`` of a tree."""
     width = 4 * DEPTH
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.select("node", "component", "mins", "sketch", tree.alias("tree"))
@@ -181,6 +186,12 @@ def _candidates(nodes: DataFrame, first_pass: bool) -> DataFrame:
         ]
     )
 
+    def table(out, kind):
+        a, b, e = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, kind), pa.array(b, kind), pa.array(e, pa.float64())], names=schema.names
+        )
+
     def run(batches):
         before, region = None, None
         held = None  # the last row so far: it may be the first of a region
@@ -204,35 +215,47 @@ def _candidates(nodes: DataFrame, first_pass: bool) -> DataFrame:
                     before, region, held = here, None, k
                     continue
                 if region is None:
-                    region = _Region(first_pass)
+                    region = _Region(first_pass, best)
                     region.add(*(held if isinstance(held, tuple) else take(held)))
                 out += region.add(*take(k))
+                if len(out) >= OUT_ROWS:
+                    yield table(out, ids.type)
+                    out = []
             if region is None and not isinstance(held, tuple):
                 held = take(held)
             if out:
-                a, b, e = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, ids.type), pa.array(b, ids.type), pa.array(e, pa.float64())], names=schema.names
-                )
+                yield table(out, ids.type)
 
     return ordered.mapInArrow(run, schema)
 
 
-def _pairs(nodes: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """The distinct pairs (a < b) to confirm in this pass; ``tried`` is None in the first."""
-    found = _candidates(nodes, tried is None).filter(F.col("a") != F.col("b"))
+def _pairs(nodes: DataFrame, tried: DataFrame | None, growth: int) -> tuple[DataFrame, bool]:
+    """The distinct pairs (a < b) to confirm in this pass, and whether any were left out; ``tried``
+    is None in the first."""
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     if tried is None:
-        return found.select(*ordered).distinct()
+        found = _candidates(nodes, True, TREE_BEST).filter(F.col("a") != F.col("b"))
+        return materialize(found.select(*ordered).distinct()), True
+    found = materialize(_candidates(nodes, False, TREE_BEST * growth).distinct())
+    more = not found.filter(F.col("a").isNull()).isEmpty()
+    found = found.filter(F.col("a") != F.col("b"))
     keyed = found.select(*ordered, "estimate", F.col("a").alias("candidate"), F.col("b").alias("node"))
-    best = (
+    best = materialize(
         keyed.join(tried, ["a", "b"], "left_anti")
         .groupBy("node")
-        # each tree gives a node at most TREE_BEST of them
-        .agg(F.slice(F.sort_array(F.collect_set(F.struct("estimate", "candidate")), False), 1, PASS_BEST).alias("best"))
-        .select("node", F.explode("best.candidate").alias("candidate"))
+        .agg(F.sort_array(F.collect_set(F.struct("estimate", "candidate")), False).alias("best"))
+        .select(
+            "node",
+            F.explode(F.slice("best.candidate", 1, PASS_BEST * growth)).alias("candidate"),
+            (F.size("best") > PASS_BEST * growth).alias("more"),
+        )
     )
-    return best.select(F.least("node", "candidate").alias("a"), F.greatest("node", "candidate").alias("b")).distinct()
+    more = more or not best.filter("more").isEmpty()
+    pairs = best.select(F.least("node", "candidate").alias("a"), F.greatest("node", "candidate").alias("b"))
+    pairs = materialize(pairs.distinct())
+    forget(found)
+    forget(best)
+    return pairs, more
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
@@ -283,8 +306,9 @@ def near_duplicates(
       many, cost no pairs; other columns are not read.
 
     The first pass proposes about one link a document and tree; each later pass
-    compares only different components, until one finds no new link. No group is
-    collected: trees are streamed in sorted order, and state is a bounded window.
+    compares only different components and confirms pairs not tried before. The
+    last one finds no link and leaves no such pair out. No group is collected:
+    trees are streamed in sorted order, and state is a bounded window.
     """
     signed = materialize(_signatures(docs, id_col, text_col, size))
     whole = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
@@ -300,22 +324,25 @@ def near_duplicates(
     )
     texts = docs.select(F.col(name(id_col)).alias("id"), F.col(name(text_col)).alias("text"))
     tried = links = roots = None
+    growth = 1
     while True:
         first_pass = roots is None
         if first_pass:
             placed = nodes.withColumn("component", F.col("node"))
         else:
             placed = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-        pairs = materialize(_pairs(placed, tried))
+        pairs, more = _pairs(placed, tried, growth)
         fresh = _confirmed(pairs, texts, size, share)
         found = not fresh.isEmpty()
+        tried = pairs if tried is None else materialize(tried.union(pairs))
         if first_pass or found:
             links = fresh if links is None else materialize(links.union(fresh))
-            tried = pairs if tried is None else materialize(tried.union(pairs))
             forget(roots)
             roots = connected_components(links)
         if not found:
-            break
+            if first_pass or not more:
+                break
+            growth *= GROWTH
     known = materialize(
         nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("component_id"))
     )

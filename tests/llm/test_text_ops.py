@@ -198,6 +198,26 @@ def test_large_group_of_near_copies(spark):
     assert got == plain_components(list(enumerate(texts)))
 
 
+def test_link_behind_many_look_alikes(spark):
+    """Links that are not among a node's best-estimated candidates: all pairs of a template are just below."""
+    rng = random.Random(12)
+    word = lambda: "w" + str(rng.randint(0, 10**9))
+    template = [word() for _ in range(304)]
+    texts = []
+    for k in range(240):
+        own = [word() for _ in range(53)]
+        if k % 6 == 1:  # some words in common with the one before: just above
+            own[:8] = last[:8]
+        texts.append(" ".join(template + own))
+        last = own
+    random.Random(13).shuffle(texts)
+    out = near_duplicates(frame(spark, texts))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()), key=str)
+    want = plain_components(list(enumerate(texts)))
+    assert sum(not r[3] for r in want) == 40
+    assert got == want
+
+
 def test_shingle_hashes_agree_with_sets():
     texts = ["a b  c\td e\nF", "A B C D E f", None, "", "x", "x y", "é " * 9, "w " * 400_000]
     w, at = words(pa.array(texts), BLANK_BYTES)
