@@ -25,8 +25,9 @@ from pointweave.llm.components import connected_components
 #: Trees, and minhashes that order each. A pair at similarity 0.75 misses the two
 #: leading minhashes of all twelve trees with probability (1 - 0.75**2)**12 = 5e-5.
 TREES, DEPTH, LEAST_DEPTH = 12, 6, 2
-#: Preceding neighbours compared in the first pass, and in later ones, which leave out
-#: those of the same component.
+#: Preceding neighbours compared in the first pass, and in later ones. When the later ones
+#: find no more links, regions of more nodes are cut into blocks of about so many, and all
+#: pairs of blocks are compared.
 NEIGHBOURS, LATER_NEIGHBOURS = 16, 2048
 #: Minhashes in all; the low four bits of each make the sketch that estimates similarity.
 #: Its deviation is 0.027 at 0.75, so what is confirmed starts four deviations below.
@@ -43,8 +44,6 @@ MAX_BROADCAST_IDS = 1_000_000
 _RANDOM = np.random.default_rng(20240229)
 _MASKS = _RANDOM.integers(0, 1 << 32, MINHASHES, np.uint64).astype(np.uint32)
 _ODD = _RANDOM.integers(0, 1 << 31, MINHASHES, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-#: Equal four-bit halves of two bytes, by their exclusive or.
-_EQUAL = np.array([(x & 0xF0 == 0) + (x & 0x0F == 0) for x in range(256)], np.uint8)
 
 
 def minhashes(found: np.ndarray) -> np.ndarray:
@@ -65,7 +64,11 @@ def sketch_of(minima: np.ndarray) -> np.ndarray:
 
 def estimates(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Similarities estimated from sketches; unequal minima agree in four bits once in 16 times."""
-    same = _EQUAL[sketches ^ one].sum(axis=1) / MINHASHES
+    x = (sketches ^ one).view(np.uint64)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)  # the lowest bit of each half byte says whether it differs
+    x &= np.uint64(0x1111111111111111)
+    same = 1 - np.bitwise_count(x).sum(axis=1, dtype=np.int64) / MINHASHES
     return (same - 1 / 16) * (16 / 15)
 
 
@@ -110,16 +113,17 @@ class _Region:
     proposed again in the next pass, between components.
     """
 
-    def __init__(self, first_pass: bool, best: int):
-        self.first_pass, self.best = first_pass, best
+    def __init__(self, first_pass: bool, best: int, whole: bool):
+        self.first_pass, self.best, self.whole = first_pass, best, whole
         self.recent: deque = deque(maxlen=NEIGHBOURS)
         self.nodes: list = []
         self.components = np.zeros(LATER_NEIGHBOURS if not first_pass else 0, object)
         self.sketches = np.zeros((len(self.components), MINHASHES // 2), np.uint8)
         self.labels = 0
+        self.gone: set = set()  # two of the components that left the window
 
-    def add(self, node, component, sketch: np.ndarray):
-        return self._first(node, sketch) if self.first_pass else self._later(node, component, sketch)
+    def add(self, node, component, sketch: np.ndarray, stays: bool):
+        return self._first(node, sketch) if self.first_pass else self._later(node, component, sketch, stays)
 
     def _first(self, node, sketch):
         label = self.labels = self.labels + 1
@@ -139,7 +143,7 @@ class _Region:
         self.recent.append([node, label, sketch])
         return out
 
-    def _later(self, node, component, sketch):
+    def _later(self, node, component, sketch, stays):
         out = []
         n = len(self.nodes)
         other = np.flatnonzero(self.components[:n] != component)
@@ -150,20 +154,62 @@ class _Region:
             out += [(self.nodes[other[k]], node, float(like[k])) for k in good[: self.best]]
             if len(good) > self.best:
                 out.append((None, node, None))
-        if n < LATER_NEIGHBOURS:
+        if self.gone - {component}:
+            out.append((None, node, None))
+        if not stays:
+            return out
+        if n < LATER_NEIGHBOURS or self.whole:
             at = n
             self.nodes.append(node)
+            if n == len(self.components):
+                self.components = np.concatenate([self.components, np.zeros(n, object)])
+                self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
         else:
             at = self.labels % LATER_NEIGHBOURS  # the oldest goes
             self.labels += 1
             self.nodes[at] = node
+            if len(self.gone) < 2:
+                self.gone.add(self.components[at])
         self.components[at], self.sketches[at] = component, sketch
         return out
 
 
-def _candidates(nodes: DataFrame, first_pass: bool, best: int) -> DataFrame:
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with the regions of more than LATER_NEIGHBOURS nodes cut into pairs of blocks.
+
+    The largest component of a region has blocks of its own, which meet those of all
+    others but not each other; a region of one component is left out. A row is in as
+    many groups as its block has partners, and stays where it is in the first one.
+    """
+    region = ["tree", "group"]
+    large = rows.groupBy(*region).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LATER_NEIGHBOURS)
+    large = materialize(large.select(*region))  # at most a few of a thousand rows
+    inner = rows.join(F.broadcast(large), region, "left_semi").groupBy(*region, "component").count()
+    parts = inner.groupBy(*region).agg(
+        F.max_by("component", F.struct("count", "component")).alias("main"),
+        F.max("count").alias("n_main"),
+        (F.sum("count") - F.max("count")).alias("n_rest"),
+    )
+    parts = materialize(parts.filter("n_rest > 0"))
+    blocks = lambda n: F.ceil(F.col(n) / LATER_NEIGHBOURS).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    own = F.when(F.col("component") == F.col("main"), -1 - part("n_main")).otherwise(part("n_rest"))
+    first = F.when(F.col("own") < 0, F.lit(0)).otherwise(-blocks("n_main"))
+    cut = (
+        rows.join(F.broadcast(parts), region)
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(first, blocks("n_rest") - 1)))
+        .withColumn("low", F.least("own", "other"))
+        .withColumn("group", F.concat("group", F.concat_ws(",", "low", F.greatest("own", "other")).cast("binary")))
+        .withColumn("stays", F.col("own") == F.col("low"))
+    )
+    return rows.join(F.broadcast(large), region, "left_anti").unionByName(cut.select(*rows.columns))
+
+
+def _candidates(nodes: DataFrame, first_pass: bool, best: int, whole: bool) -> DataFrame:
     """(a, b, estimate) of neighbours in some tree: node b and its candidate a; ``nodes`` has
-    node, component, mins and sketch. A null a says that b has more than the ``best`` of a tree."""
+    node, component, mins and sketch. A null a says that b has more: than the ``best`` of a
+    tree, or beyond the window, which a ``whole`` pass does not have."""
     width = 4 * DEPTH
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.select("node", "component", "mins", "sketch", tree.alias("tree"))
@@ -174,9 +220,10 @@ def _candidates(nodes: DataFrame, first_pass: bool, best: int) -> DataFrame:
         "component",
         "sketch",
     )
-    ordered = rows.repartition("tree", F.substring("key", 1, 4 * LEAST_DEPTH)).sortWithinPartitions(
-        "tree", "key", "node"
-    )
+    rows = rows.withColumn("group", F.substring("key", 1, 4 * LEAST_DEPTH)).withColumn("stays", F.lit(True))
+    if whole:
+        rows = _in_blocks(rows)
+    ordered = rows.repartition("tree", "group").sortWithinPartitions("tree", "group", F.desc("stays"), "key", "node")
     kind = nodes.schema["node"].dataType
     schema = T.StructType(
         [
@@ -199,15 +246,16 @@ def _candidates(nodes: DataFrame, first_pass: bool, best: int) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            keys = [k[: 4 * LEAST_DEPTH] for k in batch.column("key").to_pylist()]
+            keys = batch.column("group").to_pylist()
             trees = batch.column("tree").to_pylist()
             ids, parts = batch.column("node"), batch.column("component")
-            sketches = batch.column("sketch")
+            sketches, stays = batch.column("sketch"), batch.column("stays")
             out = []
             take = lambda k: (
                 ids[k].as_py(),
                 parts[k].as_py(),
                 np.frombuffer(sketches[k].as_py(), np.uint8),
+                stays[k].as_py(),
             )
             for k in range(n):
                 here = (trees[k], keys[k])
@@ -215,7 +263,7 @@ def _candidates(nodes: DataFrame, first_pass: bool, best: int) -> DataFrame:
                     before, region, held = here, None, k
                     continue
                 if region is None:
-                    region = _Region(first_pass, best)
+                    region = _Region(first_pass, best, whole)
                     region.add(*(held if isinstance(held, tuple) else take(held)))
                 out += region.add(*take(k))
                 if len(out) >= OUT_ROWS:
@@ -229,14 +277,14 @@ def _candidates(nodes: DataFrame, first_pass: bool, best: int) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def _pairs(nodes: DataFrame, tried: DataFrame | None, growth: int) -> tuple[DataFrame, bool]:
+def _pairs(nodes: DataFrame, tried: DataFrame | None, growth: int, whole: bool) -> tuple[DataFrame, bool]:
     """The distinct pairs (a < b) to confirm in this pass, and whether any were left out; ``tried``
     is None in the first."""
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     if tried is None:
-        found = _candidates(nodes, True, TREE_BEST).filter(F.col("a") != F.col("b"))
+        found = _candidates(nodes, True, TREE_BEST, False).filter(F.col("a") != F.col("b"))
         return materialize(found.select(*ordered).distinct()), True
-    found = materialize(_candidates(nodes, False, TREE_BEST * growth).distinct())
+    found = materialize(_candidates(nodes, False, TREE_BEST * growth, whole).distinct())
     more = not found.filter(F.col("a").isNull()).isEmpty()
     found = found.filter(F.col("a") != F.col("b"))
     keyed = found.select(*ordered, "estimate", F.col("a").alias("candidate"), F.col("b").alias("node"))
@@ -308,7 +356,8 @@ def near_duplicates(
     The first pass proposes about one link a document and tree; each later pass
     compares only different components and confirms pairs not tried before. The
     last one finds no link and leaves no such pair out. No group is collected:
-    trees are streamed in sorted order, and state is a bounded window.
+    trees are streamed in sorted order, state is a bounded window, and at the end
+    large regions are compared by pairs of blocks.
     """
     signed = materialize(_signatures(docs, id_col, text_col, size))
     whole = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
@@ -324,14 +373,14 @@ def near_duplicates(
     )
     texts = docs.select(F.col(name(id_col)).alias("id"), F.col(name(text_col)).alias("text"))
     tried = links = roots = None
-    growth = 1
+    growth, blocks = 1, False
     while True:
         first_pass = roots is None
         if first_pass:
             placed = nodes.withColumn("component", F.col("node"))
         else:
             placed = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-        pairs, more = _pairs(placed, tried, growth)
+        pairs, more = _pairs(placed, tried, growth, blocks)
         fresh = _confirmed(pairs, texts, size, share)
         found = not fresh.isEmpty()
         tried = pairs if tried is None else materialize(tried.union(pairs))
@@ -342,7 +391,7 @@ def near_duplicates(
         if not found:
             if first_pass or not more:
                 break
-            growth *= GROWTH
+            growth, blocks = growth * GROWTH, True
     known = materialize(
         nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("component_id"))
     )

@@ -218,6 +218,23 @@ def test_link_behind_many_look_alikes(spark):
     assert got == want
 
 
+def in_one_region(monkeypatch):
+    """All documents get the same minhashes in the first tree, which orders them by id, and others elsewhere."""
+    signatures, width = near_dup._signatures, 4 * near_dup.DEPTH
+    other = [F.unhex(F.sha2(F.concat_ws(" ", "id", F.lit(k)), 256)) for k in range(near_dup.TREES)]
+    mins = F.substring(F.concat(F.lit(bytes(width)), *other), 1, width * near_dup.TREES)
+    monkeypatch.setattr(near_dup, "_signatures", lambda *a: signatures(*a).withColumn("mins", mins))
+
+
+def test_region_of_more_than_the_window(spark, monkeypatch):
+    in_one_region(monkeypatch)
+    texts = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}" for k in range(2300)]
+    texts[1] = texts[0] + " x"  # a link for the first pass
+    texts[2200:2203] = [t + " x" for t in texts[20:23]]
+    out = near_duplicates(frame(spark, texts)).filter("NOT kept").collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 0), (2200, 20), (2201, 21), (2202, 22)}
+
+
 def test_shingle_hashes_agree_with_sets():
     texts = ["a b  c\td e\nF", "A B C D E f", None, "", "x", "x y", "é " * 9, "w " * 400_000]
     w, at = words(pa.array(texts), BLANK_BYTES)
