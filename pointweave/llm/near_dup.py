@@ -389,7 +389,7 @@ def near_duplicates(
             forget(roots)
             roots = connected_components(links)
         if not found:
-            if first_pass or not more:
+            if not more:
                 break
             growth, blocks = growth * GROWTH, True
     known = materialize(

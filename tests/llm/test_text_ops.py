@@ -235,6 +235,14 @@ def test_region_of_more_than_the_window(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in out} == {(1, 0), (2200, 20), (2201, 21), (2202, 22)}
 
 
+def test_first_pass_without_a_link(spark, monkeypatch):
+    in_one_region(monkeypatch)
+    texts = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}" for k in range(40)]
+    texts[35] = texts[2] + " x"
+    out = near_duplicates(frame(spark, texts)).filter("NOT kept").collect()
+    assert [(r.doc_id, r.component_id) for r in out] == [(35, 2)]
+
+
 def test_shingle_hashes_agree_with_sets():
     texts = ["a b  c\td e\nF", "A B C D E f", None, "", "x", "x y", "é " * 9, "w " * 400_000]
     w, at = words(pa.array(texts), BLANK_BYTES)
