@@ -199,12 +199,16 @@ def identify_languages(
 
     def table(column: str, kept: int = 1000) -> DataFrame:
         """log P(value | language) for the most frequent values and, as null, all others."""
-        by = seen.groupBy(column).agg(*sums, F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(kept)
-        rows = by.collect()
+        by = seen.groupBy(column).agg(*sums, F.count(F.lit(1)).alias("n"))
+        rows = by.orderBy(F.desc("n"), column).limit(kept).collect()
         cells = len(rows) + 1
-        of = [sum(r[f"s{k}"] for r in rows) for k in range(n)]
+        # all rows have a value, so the others' sums are what is left of the whole table's
+        pooled = [max(0.0, (total[k] or 0.0) - sum(r[f"s{k}"] for r in rows)) for k in range(n)]
+        if sum(r["n"] for r in rows) == total["n"]:
+            pooled = [0.0] * n
+        of = [sum(r[f"s{k}"] for r in rows) + pooled[k] for k in range(n)]
         out = [(r[column], [float(np.log((r[f"s{k}"] + CELL) / (of[k] + CELL * cells))) for k in range(n)]) for r in rows]
-        out.append((None, [float(np.log(CELL / (of[k] + CELL * cells))) for k in range(n)]))
+        out.append((None, [float(np.log((pooled[k] + CELL) / (of[k] + CELL * cells))) for k in range(n)]))
         return seen.sparkSession.createDataFrame(out, f"{column} string, log_{column} array<double>")
 
     def prior(level: str, above: str | None) -> DataFrame:

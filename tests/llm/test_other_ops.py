@@ -193,6 +193,17 @@ def test_languages(spark):
     assert identify_languages(df.limit(0), model).count() == 0
 
 
+def test_rare_suffixes_are_pooled(spark):
+    """Pages with a suffix beyond the thousand kept say no more of a language than their counts do."""
+    docs = spark.createDataFrame([(k, LANGS[x], x) for k in range(20) for x in LANGS], "doc_id long, text string, lang string")
+    model = train_text_model(docs)
+    pages = [(k, f"http://w.s{k % 1000}", f"<html>{LANGS['bb' if k % 20 == 0 else 'aa'] * 4}</html>") for k in range(2000)]
+    pages += [(5000 + k, f"http://w.z{k}", f"<html>{LANGS['aa'] * 4}</html>") for k in range(300)] + [(9000, "http://w.zz", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    row = identify_languages(df, model).filter("page_id = 9000").first()
+    assert row.lang == "aa" and row.confidence > 0.9
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(7)
     plain = ["stone", "river", "cloud", "walk", "green", "paper", "seven", "night"]
