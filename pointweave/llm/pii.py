@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +21,8 @@ from pointweave.llm._frames import append_columns
 
 #: The kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of an entity at most, and tokens of a region that is searched at once.
-MAX_TOKENS, MAX_REGION = 24, 160
+#: Tokens of an entity at most.
+MAX_TOKENS = 24
 
 # -- base spans ---------------------------------------------------------------
 
@@ -104,7 +105,7 @@ _SEED = re.compile(r"[0-9@]|(?i:[(\[{]at[)\]}])")
 
 
 def regions(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Token spans near digits or at-signs, free of ``taken``; at most MAX_REGION tokens each."""
+    """Token spans near digits or at-signs, free of ``taken``; a region is never cut."""
     out: list[list[tuple[int, int]]] = []
     busy = sorted(taken)
     spans: list[list[int]] = []
@@ -126,8 +127,7 @@ def regions(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int
         cuts.append((at, high))
         for s, e in cuts:
             if e - s >= 7 and _SEED.search(text, s, e):
-                row = [m.span() for m in _TOKEN.finditer(text, s, e)]
-                out += [row[j : j + MAX_REGION] for j in range(0, len(row), MAX_REGION)]
+                out.append([m.span() for m in _TOKEN.finditer(text, s, e)])
     return out
 
 
@@ -165,9 +165,8 @@ class SemiMarkov:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
-    def candidates(self, text: str, row: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
+    def candidates(self, text: str, row: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, list[str]]]:
         """(first token, token after, kind, features) of the segments that could be entities."""
-        out = []
         for i, (s, _) in enumerate(row):
             head = text[s]
             if not (head.isalnum() or head in "+(") or text[s : s + 1].isspace():
@@ -195,8 +194,8 @@ class SemiMarkov:
                         kinds.append("ip")
                 elif head.isalnum() and re.search(r"@|[(\[{]at[)\]}]| at ", piece) and re.search(r"dot|\.", piece):
                     kinds.append("email")
-                out += [(i, j + 1, kind, segment_features(text, s, e, kind)) for kind in kinds]
-        return out
+                for kind in kinds:
+                    yield i, j + 1, kind, segment_features(text, s, e, kind)
 
     def score(self, features: list[str]) -> float:
         get = self.weights.get
@@ -204,8 +203,9 @@ class SemiMarkov:
 
     def decode(self, text: str, row: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         """The best segmentation: each token is outside, or in one segment."""
-        found = [(i, j, kind, self.score(f)) for i, j, kind, f in self.candidates(text, row)]
-        if not any(x[3] > 0 for x in found):
+        scored = ((i, j, kind, self.score(f)) for i, j, kind, f in self.candidates(text, row))
+        found = [x for x in scored if x[3] > 0]  # no other can raise the sum
+        if not found:
             return []
         ending: dict[int, list] = {}
         for x in found:

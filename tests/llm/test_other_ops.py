@@ -133,6 +133,11 @@ def test_field_adds_and_leaves_alone():
         assert find_spans(clean, field)[1] == []
 
 
+def test_field_finds_all_of_a_long_list():
+    one = "call (555) 123-4567 now\n"
+    assert find_spans(one * 200, trained_field())[1] == [("phone", 24 * k + 5, 24 * k + 19) for k in range(200)]
+
+
 # -- HTML -------------------------------------------------------------------------------
 
 
