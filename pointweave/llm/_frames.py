@@ -80,8 +80,8 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     counted rows go by a broadcast of at most HEAVY_SHARE rows; all others are
     shuffled, where no key can then dominate a task.
     """
-    if how not in ("inner", "left_semi"):
-        raise ValueError("how must be inner or left_semi")
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError("how must be inner, left or left_semi")
     total = right.agg(F.sum(count)).first()[0] or 0
     heavy = F.col(count) * HEAVY_SHARE > F.lit(int(total))
     hot = right.filter(heavy)
@@ -89,7 +89,7 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     marked = left.join(
         F.broadcast(hot.select(*map(name, keys)).withColumn(flag, F.lit(True))), keys, "left"
     )
-    first = marked.filter(F.col(flag)).drop(flag).join(F.broadcast(hot), keys, how)
+    first = marked.filter(F.col(flag)).drop(flag).join(F.broadcast(hot), keys, "inner" if how == "left" else how)
     rest = marked.filter(F.col(flag).isNull()).drop(flag).join(right.filter(~heavy), keys, how)
     return first.unionByName(rest)
 

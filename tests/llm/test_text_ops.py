@@ -53,18 +53,21 @@ def plain_line_dedup(rows, min_docs):
     return sorted(out, key=str)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("max_broadcast", [1000, 0])
+def test_line_dedup(spark, max_broadcast):
     rng = random.Random(1)
     lines = ["Shared", " shared\t", "ÄB", "äb", "", " ", "one", "Two", "three\r", "x" * 5000]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6))) for _ in range(60)] + [None, "", "\n\n", "shared"]
     ids = [*range(60), 60, 61, 62, None]
     ids[5] = ids[6] = 7  # three rows of one document
     df = frame(spark, texts, ids)
-    out = drop_repeated_lines(df, min_docs=12)
+    out = drop_repeated_lines(df, min_docs=12, max_broadcast=max_broadcast)
     assert out.columns == ["doc_id", "text", "lang", "odd name", "n_lines", "n_dropped"]
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=str)
     assert got == plain_line_dedup(list(zip(ids, texts, strict=True)), 12)
-    assert drop_repeated_lines(df.limit(0)).count() == 0
+    assert drop_repeated_lines(df.limit(0), max_broadcast=max_broadcast).count() == 0
+    clash = df.withColumnsRenamed({"lang": "n_lines", "odd name": "id"})
+    assert drop_repeated_lines(clash, max_broadcast=max_broadcast).columns == ["doc_id", "text", "id", "n_lines", "n_dropped"]
     with pytest.raises(ValueError):
         drop_repeated_lines(df, min_docs=0)
 
