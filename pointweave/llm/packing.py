@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -22,8 +23,9 @@ from pointweave.llm._text import BLANK_BYTES, hashes, raw, steps
 
 #: Pieces that one group holds on average: what one packing task keeps in memory.
 GROUP_PIECES = 8192
-#: Words whose ids a task remembers (about 150 bytes each); beyond, it starts anew.
-MAX_CACHED_WORDS = 600_000
+#: Words whose ids a task remembers, and the bytes of their ids; beyond either, it starts
+#: anew. With the dictionary's own entries (some 100 bytes each) a task holds 30 MB at most.
+MAX_CACHED_WORDS, MAX_CACHED_BYTES = 200_000, 8 << 20
 
 #: White space besides ASCII blanks, and separators that some engines count as such.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -35,10 +37,6 @@ _SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-#: The one special token of such a file; in a text its string is ordinary text.
-END_TEXT = "<|endoftext|>"
-
-
 def byte_signs() -> dict[str, int]:
     """The byte for each character by which such a file writes bytes: itself if visible, else from U+0100 on."""
     visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
@@ -54,25 +52,62 @@ _KIND[0x30:0x3A] = 2
 _KIND[0x27] = 0
 
 
-class Tokens:
-    """Token ids of texts by a byte-level BPE of ``tokenizers``.
+def plain_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token ids by their bytes, if the file is a byte-level BPE whose ids follow its merges.
 
-    Such a tokenizer first cuts a text before each run of blanks' last character
-    and, unless that is a space, after it, and between ASCII letters, digits and
-    other signs; no token crosses such a border. So each distinct chunk is encoded
-    once and remembered. Texts with other white space are encoded whole.
+    Then a greedy merge of the pair with the smallest id is what the file asks for.
+    None for any other file: other models, normalizers, pre-tokenizers or options.
     """
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    off = [spec.get("normalizer"), spec.get("truncation"), spec.get("padding")]
+    off += [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")]
+    off += [model.get("byte_fallback"), model.get("ignore_merges"), before.get("add_prefix_space")]
+    if any(off) or model.get("type") != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex", True):
+        return None
+    if (spec.get("post_processor") or {"type": "ByteLevel"}).get("type") != "ByteLevel":
+        return None
+    signs, added = byte_signs(), {t["content"] for t in spec.get("added_tokens") or ()}
+    vocab = {token: rank for token, rank in model["vocab"].items() if token not in added}
+    if not set(signs) <= vocab.keys() or any(not set(token) <= signs.keys() for token in vocab):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [vocab.get("".join(pair), -1) for pair in pairs]
+    if order != sorted(set(order)) or (order and order[0] < 0) or len(order) + len(signs) != len(vocab):
+        return None
+    return {bytes(map(signs.__getitem__, token)): rank for token, rank in vocab.items()}
 
-    def __init__(self, path: str):
-        import tiktoken
 
+class Tokens:
+    """Token ids of texts as the library ``tokenizers`` gives them for a file, without special tokens added.
+
+    For a byte-level BPE (``plain_ranks``) texts are cut into chunks: such a
+    tokenizer cuts a text before each run of blanks' last character and, unless
+    that is a space, after it, and between ASCII letters, digits and other signs; no
+    token crosses such a border. So each distinct chunk is encoded once and
+    remembered. Texts with other white space are encoded whole. Texts that hold the
+    string of an added token, and all texts for other files, go through the library.
+    """
+
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            known = json.load(file)["model"]["vocab"]
-        signs = byte_signs()
-        ranks = {bytes(map(signs.__getitem__, token)): rank for token, rank in known.items() if token != END_TEXT}
-        self.model = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            spec = json.load(file)
+        self.path, self._library = path, None
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or () if t["content"]]
+        ranks = plain_ranks(spec)
+        self.model = None
+        if ranks is not None:
+            import tiktoken
+
+            self.model = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
+    def by_library(self, texts: list[str]) -> list[list[int]]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return [e.ids for e in self._library.encode_batch(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.place: dict[int, int] = {}
         self.flat = np.zeros(0, np.uint32)
@@ -94,6 +129,8 @@ class Tokens:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and their n + 1 offsets."""
+        if self.model is None:
+            return _joined(self.by_library([t.as_py() or "" for t in texts]))
         data, at = raw(texts)
         n = len(at) - 1
         blank = BLANK_BYTES[data]
@@ -111,7 +148,7 @@ class Tokens:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys, where, inverse = np.unique(hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.place) > MAX_CACHED_WORDS:
+        if len(self.place) > MAX_CACHED_WORDS or self.flat.nbytes > MAX_CACHED_BYTES:
             self.clear()
         keys = keys.tolist()
         new = [k for k, key in enumerate(keys) if key not in self.place]
@@ -125,14 +162,33 @@ class Tokens:
         bounds = sums[np.searchsorted(starts, at)]
         odd = np.unique(np.searchsorted(at, np.flatnonzero(_SUSPECT[data]), "right") - 1).tolist()
         odd = [k for k in odd if _OTHER_SPACE.search(texts[k].as_py() or "")]
-        if odd:
+        special = self._with_added(data, at) if self.added else []
+        if odd or special:
             parts = [flat[bounds[k] : bounds[k + 1]] for k in range(n)]
-            for k, ids in zip(odd, self.encode([texts[k].as_py() for k in odd]), strict=True):
-                parts[k] = np.asarray(ids, np.uint32)
-            flat = np.concatenate(parts)
-            bounds = np.append(0, np.cumsum([len(p) for p in parts]))
+            for chosen, encode in ((odd, self.encode), (special, self.by_library)):
+                for k, ids in zip(chosen, encode([texts[k].as_py() for k in chosen]), strict=True):
+                    parts[k] = np.asarray(ids, np.uint32)
+            return _joined(parts)
         return flat, bounds
 
+    def _with_added(self, data: np.ndarray, at: np.ndarray) -> list[int]:
+        """The texts that hold an added token's string."""
+        found, source = set(), data.tobytes()
+        for content in self.added:
+            spot = source.find(content)
+            while spot >= 0:
+                k = int(np.searchsorted(at, spot, "right")) - 1
+                found.add(k)
+                spot = source.find(content, max(spot + 1, int(at[k + 1])))
+        return sorted(found)
+
+
+def _joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one list after another, and their offsets."""
+    arrays = [np.asarray(p, np.uint32) for p in parts]
+    flat = np.concatenate([*arrays, np.zeros(0, np.uint32)])
+    return flat, np.append(0, np.cumsum([len(p) for p in arrays], dtype=np.int64)).astype(np.int64)
+
 
 def token_pieces(
     docs: DataFrame,
@@ -141,16 +197,19 @@ def token_pieces(
     text_col: str = "text",
     capacity: int = 1024,
     end_id: int = 0,
+    digest: bool = False,
 ) -> DataFrame:
     """Token ids of each document and a final ``end_id``, cut after every ``capacity`` ids.
 
     Returns per piece the id, ``start`` (ids of the document before it),
     ``length``, ``ids`` (binary: little-endian unsigned 32-bit) and
-    ``doc_tokens``. A null text is empty and gives the ``end_id`` alone.
+    ``doc_tokens``; with ``digest``, ``ids_crc32`` (long) in place of ``ids``. A
+    null text is empty and gives the ``end_id`` alone.
     """
     base = docs.select(F.col(name(id_col)).alias("id"), F.col(name(text_col)).alias("text"))
+    kept = "ids_crc32 bigint" if digest else "ids binary"
     schema = T.StructType(
-        [base.schema["id"]] + T.StructType.fromDDL("start bigint, length bigint, ids binary, doc_tokens bigint").fields
+        [base.schema["id"]] + T.StructType.fromDDL(f"start bigint, length bigint, {kept}, doc_tokens bigint").fields
     )
 
     def run(batches):
@@ -158,20 +217,22 @@ def token_pieces(
         for batch in batches:
             for part in steps(batch, "text"):
                 flat, at = tokens.ids(part.column("text"))
-                rows, start, ids, total = [], [], [], []
+                rows, start, size, ids, total = [], [], [], [], []
                 for k in range(part.num_rows):
                     own = np.append(flat[at[k] : at[k + 1]], end_id).astype("<u4")
                     for low in range(0, len(own), capacity):
                         rows.append(k)
                         start.append(low)
-                        ids.append(own[low : low + capacity].tobytes())
+                        piece = own[low : low + capacity].tobytes()
+                        size.append(len(piece) // 4)
+                        ids.append(zlib.crc32(piece) if digest else piece)
                         total.append(len(own))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(rows, pa.int64())),
                         pa.array(start, pa.int64()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        pa.array(size, pa.int64()),
+                        pa.array(ids, pa.int64() if digest else pa.binary()),
                         pa.array(total, pa.int64()),
                     ],
                     names=schema.names,
@@ -250,7 +311,5 @@ def pack_documents(
     With ``digest`` the column ``ids_crc32`` (long) stands in place of ``ids``, so
     that ids are neither stored nor shuffled. Repeated rows are packed each.
     """
-    pieces = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id)
-    if digest:
-        pieces = pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    pieces = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, digest)
     return pack_pieces(materialize(pieces), capacity, group_pieces)

@@ -1,5 +1,6 @@
 """Line dedup, decontamination, near duplicates and packing against plain versions."""
 
+import json
 import random
 import re
 import zlib
@@ -271,11 +272,10 @@ def test_components(spark):
 # -- packing --------------------------------------------------------------------------
 
 
-def reference_ids(texts):
+def reference_ids(texts, path=None):
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(byte_bpe_path())
-    model.encode_special_tokens = True
+    model = Tokenizer.from_file(path or byte_bpe_path())
     return [e.ids for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -283,8 +283,36 @@ def test_tokens_are_those_of_the_library():
     rng = random.Random(5)
     parts = ["a", "B", " ", "  ", "\n", "\t", "é", "'s", "'t", "12", "<|endoftext|>", "\u00a0", "\u3000", "中", "!", "?!", "\r\n", "\x1c", "\x85", " the", "'", "x'"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, "", " ", "\n\n", "x" * 3000]
-    flat, at = Tokens(byte_bpe_path()).ids(pa.array(texts))
+    tokens = Tokens(byte_bpe_path())
+    assert tokens.model is not None
+    flat, at = tokens.ids(pa.array(texts))
     assert [flat[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == reference_ids(texts)
+    flat, at = tokens.ids(pa.array(["a<|endoftext|>b", "<|endoftext", "|>"]))
+    assert flat[: at[1]].tolist() == [64, 50256, 65]
+    assert len(tokens.ids(pa.array([], pa.string()))[0]) == 0
+
+
+@pytest.mark.parametrize("change", ["normalizer", "prefix", "merges", "word ends"])
+def test_other_files_go_through_the_library(tmp_path, change):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    if change != "word ends":
+        spec = json.loads(open(byte_bpe_path(), encoding="utf-8").read())
+        if change == "normalizer":
+            spec["normalizer"] = {"type": "Lowercase"}
+        elif change == "prefix":
+            spec["pre_tokenizer"]["add_prefix_space"] = True
+        else:
+            spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+        path = str(tmp_path / "file.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(spec, file)
+    texts = [*sentences(3, 40), "The  the\tTHE <|endoftext|> x", None, ""]
+    tokens = Tokens(path)
+    assert tokens.model is None
+    flat, at = tokens.ids(pa.array(texts))
+    assert [flat[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == reference_ids(texts, path)
 
 
 def test_first_fit_decreasing():
@@ -325,3 +353,8 @@ def test_packing_round_trip(spark):
         own = np.asarray(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
         assert r.ids_crc32 == zlib.crc32(own)
     assert pack_documents(df.limit(0), byte_bpe_path()).count() == 0
+    repeated = frame(spark, ["x y z", "x y z", None, "x y z"], [1, 1, None, None])
+    out = pack_documents(repeated, byte_bpe_path()).collect()
+    assert sorted((str(r.doc_id), r.length) for r in out) == [("1", 4), ("1", 4), ("None", 1), ("None", 4)]
+    clash = df.withColumnsRenamed({"lang": "start", "odd name": "sequence_id"})
+    assert pack_documents(clash, byte_bpe_path()).count() == pack_documents(df, byte_bpe_path()).count()
