@@ -1,20 +1,19 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
 Each document has several signature orders ("trees"). Sorted by such an order,
-documents that share a prefix lie together; a document's candidates are its
-nearest neighbours there, those with the longest common prefix, so dense regions
-are compared at a deep prefix and sparse ones at a shallow one. Candidates are
-confirmed on their full shingle sets.
+documents that share a prefix lie together: a document's neighbours are those of
+its longest common prefixes, so dense regions are met at a deep prefix and sparse
+ones at a shallow one. What neighbours do not settle is settled by comparing the
+components that still share a region. Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,21 +24,22 @@ from pointweave.llm.components import connected_components
 #: Trees, and minhashes that order each. A pair at similarity 0.75 misses the two
 #: leading minhashes of all twelve trees with probability (1 - 0.75**2)**12 = 5e-5.
 TREES, DEPTH, LEAST_DEPTH = 12, 6, 2
-#: Preceding neighbours compared in the first pass, and in later ones. When the later ones
-#: find no more links, regions of more nodes are cut into blocks of about so many, and all
-#: pairs of blocks are compared.
-NEIGHBOURS, LATER_NEIGHBOURS = 16, 2048
+#: Preceding neighbours in a tree that a node is compared with in the first pass, and how many of these
+#: it may propose. Both only order the work: the last pass proposes every pair that is left.
+NEIGHBOURS, BEST = 16, 4
 #: Minhashes in all; the low four bits of each make the sketch that estimates similarity.
 #: Its deviation is 0.027 at 0.75, so what is confirmed starts four deviations below.
 MINHASHES, LEAST_ESTIMATE = 288, 0.645
-#: Of one document's candidates in other components so many of the best are confirmed in a
-#: pass, at most TREE_BEST of each tree. After a pass without a link that left some out, the
-#: next takes GROWTH times as many, until all that are not yet joined have been confirmed.
-PASS_BEST, TREE_BEST, GROWTH = 16, 4, 8
-#: Candidates a task gathers before it hands them on.
-OUT_ROWS = 50_000
-#: Ids of candidate documents that are broadcast (8 bytes each); more are shuffled.
-MAX_BROADCAST_IDS = 1_000_000
+#: Nodes of a region that one task compares (200 bytes each); larger ones are cut into pairs of blocks.
+BLOCK = 8192
+#: Groups of at most so many rows are compared side by side, larger ones in tiles of so many pairs.
+SMALL, TILE_PAIRS = 32, 1 << 20
+#: Rows that a comparing task gathers before it hands groups on, and candidates it hands on at once.
+STEP_ROWS, OUT_ROWS = 20_000, 200_000
+#: Documents and shingles of one side of a block of pairs to confirm.
+CONFIRM_NODES, CONFIRM_SHINGLES = 512, 1 << 21
+#: Rows of a few numbers that are broadcast (16 bytes each); more are shuffled.
+MAX_BROADCAST_ROWS = 250_000
 
 _RANDOM = np.random.default_rng(20240229)
 _MASKS = _RANDOM.integers(0, 1 << 32, MINHASHES, np.uint64).astype(np.uint32)
@@ -62,14 +62,17 @@ def sketch_of(minima: np.ndarray) -> np.ndarray:
     return low[0::2] << 4 | low[1::2]
 
 
-def estimates(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Similarities estimated from sketches; unequal minima agree in four bits once in 16 times."""
-    x = (sketches ^ one).view(np.uint64)
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)  # the lowest bit of each half byte says whether it differs
-    x &= np.uint64(0x1111111111111111)
-    same = 1 - np.bitwise_count(x).sum(axis=1, dtype=np.int64) / MINHASHES
-    return (same - 1 / 16) * (16 / 15)
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities estimated from sketches as rows of 64-bit words, which may be broadcast
+    against each other; unequal minima agree in four bits once in 16 times."""
+    unlike: np.ndarray | int = 0
+    for k in range(MINHASHES // 16):
+        x = a[..., k] ^ b[..., k]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)  # the lowest bit of each half byte says whether it differs
+        x &= np.uint64(0x1111111111111111)
+        unlike = unlike + np.bitwise_count(x).astype(np.uint16)
+    return (1 - unlike / np.float32(MINHASHES) - 1 / 16) * (16 / 15)
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -105,237 +108,326 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     return base.mapInArrow(run, schema)
 
 
-class _Region:
-    """Neighbours with a common prefix, as they come in sorted order.
+def _spanning(labels: list, a: np.ndarray, b: np.ndarray, like: np.ndarray) -> list[int]:
+    """Of edges between the labels at ``a`` and ``b`` those, best first, that join two groups."""
+    root: dict = {}
 
-    In the first pass only links that join two groups of the region are proposed,
-    best estimate first: what they promise is confirmed later, and what fails is
-    proposed again in the next pass, between components.
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    order = np.argsort(-like, kind="stable").tolist()
+    a, b = a.tolist(), b.tolist()
+    for k in order:
+        x, y = find(labels[a[k]]), find(labels[b[k]])
+        if x != y:
+            root[x] = y
+            out.append(k)
+    return out
+
+
+def _columns(batch: pa.RecordBatch, column: str, kind: str, width: int) -> np.ndarray:
+    """A column of binary values of one length as rows of numbers."""
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), kind).reshape(batch.num_rows, width)
+
+
+def _region(tree: Column) -> Column:
+    """A tree's region: all nodes with its LEAST_DEPTH leading minhashes, as a hash."""
+    return F.xxhash64(tree, F.substring(F.col("mins"), tree * (4 * DEPTH) + 1, F.lit(4 * LEAST_DEPTH)))
+
+
+def _semi(rows: DataFrame, keys: DataFrame, key: str, count: str | None = None) -> DataFrame:
+    """``rows`` whose key is in the materialized ``keys``, with the columns of these."""
+    if keys.count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), key)
+    return join_counted(rows, keys, [key], count) if count else rows.join(keys, key)
+
+
+def _held(nodes: DataFrame) -> DataFrame:
+    """The nodes that share a region with another, with ``trees``, those where they do."""
+    rows = nodes.select("node", "mins", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("node", "tree", _region(F.col("tree")).alias("region"))
+    shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(shared)
+    met = _semi(rows, shared, "region", "n")
+    trees = materialize(met.groupBy("node").agg(F.collect_set("tree").alias("trees")))
+    out = materialize(_semi(nodes, trees, "node"))
+    forget(shared)
+    forget(trees)
+    return out
+
+
+def _neighbours(held: DataFrame) -> DataFrame:
+    """Candidates (a, b, estimate) of the first pass: in each tree's order a node meets the
+    neighbours before it, whose common prefixes with it are its longest, down to LEAST_DEPTH.
+
+    Rows are dealt by ranges of the order itself, so a region of any size is spread over
+    tasks and a task holds a window. Of a region's candidates only those are proposed
+    that join two groups of it, best estimate first.
     """
+    rows = held.select("node", "mins", "sketch", F.explode("trees").alias("tree"))
+    width = 4 * DEPTH
+    rows = rows.select(
+        "tree", F.substring("mins", F.col("tree") * F.lit(width) + 1, F.lit(width)).alias("key"), "node", "sketch"
+    )
+    order = ["tree", "key", "node"]
+    kind = held.schema["node"].dataType
+    schema = T.StructType([T.StructField(c, kind) for c in "ab"] + [T.StructField("estimate", T.FloatType())])
 
-    def __init__(self, first_pass: bool, best: int, whole: bool):
-        self.first_pass, self.best, self.whole = first_pass, best, whole
-        self.recent: deque = deque(maxlen=NEIGHBOURS)
-        self.nodes: list = []
-        self.components = np.zeros(LATER_NEIGHBOURS if not first_pass else 0, object)
-        self.sketches = np.zeros((len(self.components), MINHASHES // 2), np.uint8)
-        self.labels = 0
-        self.gone: set = set()  # two of the components that left the window
+    def run(batches):
+        before: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            both = pa.concat_tables([before, now]) if before is not None else now
+            both = both.combine_chunks().to_batches()[0]
+            held_back = both.num_rows - batch.num_rows
+            tree = both.column("tree").to_numpy(zero_copy_only=False)
+            keys, words_ = _columns(both, "key", ">u4", DEPTH), _columns(both, "sketch", "<u8", MINHASHES // 16)
+            n, found = both.num_rows, []
+            for o in range(1, min(NEIGHBOURS, n - 1) + 1):
+                prefix = np.logical_and.accumulate(keys[o:] == keys[:-o], axis=1).sum(axis=1)
+                prefix[tree[o:] != tree[:-o]] = 0
+                prefix[: max(0, held_back - o)] = 0  # these met in the batch before
+                at = np.flatnonzero(prefix >= LEAST_DEPTH)
+                like = estimates(words_[at], words_[at + o])
+                good = like >= LEAST_ESTIMATE
+                found.append((at[good], at[good] + o, like[good]))
+            if found:
+                i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
+                i, j, like = _best(i, j, like)
+                kept = np.array(_spanning(list(range(n)), i, j, like), np.int64)
+                ids = both.column("node")
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(i[kept])), ids.take(pa.array(j[kept])), pa.array(like[kept], pa.float32())],
+                    names=schema.names,
+                )
+            before = pa.Table.from_batches([both.slice(max(0, n - NEIGHBOURS))])
 
-    def add(self, node, component, sketch: np.ndarray, stays: bool):
-        return self._first(node, sketch) if self.first_pass else self._later(node, component, sketch, stays)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
-    def _first(self, node, sketch):
-        label = self.labels = self.labels + 1
-        out = []
-        if self.recent:
-            like = estimates(np.stack([r[2] for r in self.recent]), sketch)
-            for k in np.argsort(-like, kind="stable"):
-                if like[k] < LEAST_ESTIMATE:
-                    break
-                other = self.recent[k]
-                if other[1] != label:
-                    out.append((other[0], node, float(like[k])))
-                    old = other[1]
-                    for r in self.recent:
-                        if r[1] == old:
-                            r[1] = label
-        self.recent.append([node, label, sketch])
-        return out
-
-    def _later(self, node, component, sketch, stays):
-        out = []
-        n = len(self.nodes)
-        other = np.flatnonzero(self.components[:n] != component)
-        if len(other):
-            like = estimates(self.sketches[other], sketch)
-            good = np.flatnonzero(like >= LEAST_ESTIMATE)
-            good = good[np.argsort(-like[good], kind="stable")]
-            out += [(self.nodes[other[k]], node, float(like[k])) for k in good[: self.best]]
-            if len(good) > self.best:
-                out.append((None, node, None))
-        if self.gone - {component}:
-            out.append((None, node, None))
-        if not stays:
-            return out
-        if n < LATER_NEIGHBOURS or self.whole:
-            at = n
-            self.nodes.append(node)
-            if n == len(self.components):
-                self.components = np.concatenate([self.components, np.zeros(n, object)])
-                self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
-        else:
-            at = self.labels % LATER_NEIGHBOURS  # the oldest goes
-            self.labels += 1
-            self.nodes[at] = node
-            if len(self.gone) < 2:
-                self.gone.add(self.components[at])
-        self.components[at], self.sketches[at] = component, sketch
-        return out
-
-
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` with the regions of more than LATER_NEIGHBOURS nodes cut into pairs of blocks.
-
-    The largest component of a region has blocks of its own, which meet those of all
-    others but not each other; a region of one component is left out. A row is in as
-    many groups as its block has partners, and stays where it is in the first one.
+
+def _best(i: np.ndarray, j: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The BEST of each ``j``."""
+    order = np.lexsort((i, -like, j))
+    i, j, like = i[order], j[order], like[order]
+    first = np.searchsorted(j, j)
+    kept = np.arange(len(j)) - first < BEST
+    return i[kept], j[kept], like[kept]
+
+
+def _in_blocks(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """``rows`` with ``cell`` and ``side``: what meets in one task.
+
+    A region of at most BLOCK nodes is one cell. A larger one is cut into pairs of blocks;
+    its largest component has blocks of its own, which meet those of all others but not
+    each other. A row is in as many cells as its block has partners. Rows of a cell are
+    compared if a side is 0 (the one block that meets itself) or their sides differ.
     """
-    region = ["tree", "group"]
-    large = rows.groupBy(*region).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LATER_NEIGHBOURS)
-    large = materialize(large.select(*region))  # at most a few of a thousand rows
-    inner = rows.join(F.broadcast(large), region, "left_semi").groupBy(*region, "component").count()
-    parts = inner.groupBy(*region).agg(
+    plain = rows.filter(F.col("n") <= BLOCK).withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(0))
+    if regions.filter(F.col("n") > BLOCK).isEmpty():
+        return plain
+    large = rows.filter(F.col("n") > BLOCK)
+    inner = large.groupBy("region", "component").count()
+    parts = inner.groupBy("region").agg(
         F.max_by("component", F.struct("count", "component")).alias("main"),
         F.max("count").alias("n_main"),
         (F.sum("count") - F.max("count")).alias("n_rest"),
     )
-    parts = materialize(parts.filter("n_rest > 0"))
-    blocks = lambda n: F.ceil(F.col(n) / LATER_NEIGHBOURS).cast("int")
+    parts = materialize(parts)  # at most a row for each BLOCK of the input's
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     own = F.when(F.col("component") == F.col("main"), -1 - part("n_main")).otherwise(part("n_rest"))
     first = F.when(F.col("own") < 0, F.lit(0)).otherwise(-blocks("n_main"))
+    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
     cut = (
-        rows.join(F.broadcast(parts), region)
+        large.join(F.broadcast(parts), "region")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(first, blocks("n_rest") - 1)))
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("group", F.concat("group", F.concat_ws(",", "low", F.greatest("own", "other")).cast("binary")))
-        .withColumn("stays", F.col("own") == F.col("low"))
+        .withColumn("cell", low * (1 << 31) + high)
+        .withColumn("side", F.when(low == high, 0).otherwise(F.when(F.col("own") == low, 1).otherwise(2)))
     )
-    return rows.join(F.broadcast(large), region, "left_anti").unionByName(cut.select(*rows.columns))
-
-
-def _candidates(nodes: DataFrame, first_pass: bool, best: int, whole: bool) -> DataFrame:
-    """(a, b, estimate) of neighbours in some tree: node b and its candidate a; ``nodes`` has
-    node, component, mins and sketch. A null a says that b has more: than the ``best`` of a
-    tree, or beyond the window, which a ``whole`` pass does not have."""
-    width = 4 * DEPTH
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = nodes.select("node", "component", "mins", "sketch", tree.alias("tree"))
-    rows = rows.select(
-        "tree",
-        F.substring("mins", F.col("tree") * width + 1, F.lit(width)).alias("key"),
-        "node",
-        "component",
-        "sketch",
-    )
-    rows = rows.withColumn("group", F.substring("key", 1, 4 * LEAST_DEPTH)).withColumn("stays", F.lit(True))
-    if whole:
-        rows = _in_blocks(rows)
-    ordered = rows.repartition("tree", "group").sortWithinPartitions("tree", "group", F.desc("stays"), "key", "node")
-    kind = nodes.schema["node"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("a", kind),
-            T.StructField("b", kind),
-            T.StructField("estimate", T.DoubleType()),
-        ]
+    return plain.unionByName(cut.select(*plain.columns))
+
+
+def _met(start: np.ndarray, component: np.ndarray, side: np.ndarray, sketch: np.ndarray):
+    """(i, j, estimate) of the like rows of different components in each group of rows that begins at ``start``."""
+    n, found = len(component), []
+    ends = np.append(start[1:], n)
+    end_of = np.repeat(ends, ends - start)
+    small = np.repeat(ends - start <= SMALL, ends - start)
+
+    def keep(i, j):
+        unlike = (component[i] != component[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[unlike], j[unlike]
+        like = estimates(sketch[i], sketch[j])
+        good = like >= LEAST_ESTIMATE
+        found.append((i[good], j[good], like[good]))
+
+    for o in range(1, SMALL):
+        at = np.flatnonzero(small[: n - o] & (np.arange(n - o) + o < end_of[: n - o]))
+        if not len(at):
+            break
+        keep(at, at + o)
+    for low, high in zip(start.tolist(), ends.tolist(), strict=True):
+        if high - low <= SMALL:
+            continue
+        tile = max(1, TILE_PAIRS // (high - low))
+        for at in range(low, high, tile):
+            own = np.arange(at, min(at + tile, high))
+            rest = np.arange(at, high)
+            like = estimates(sketch[own][:, None, :], sketch[rest][None, :, :])
+            i, j = np.nonzero(like >= LEAST_ESTIMATE)
+            score = like[i, j]
+            i, j = i + at, j + at
+            good = (i < j) & (component[i] != component[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            found.append((i[good], j[good], score[good]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _across(held: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+    """Candidates (a, b, estimate) between components that share a region.
+
+    All rows of a region meet. With ``every`` all like pairs of different components are
+    proposed, otherwise those that join two components of the region, best estimate first.
+    """
+    placed = held.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    spread = placed.withColumn("tree", F.explode("trees")).withColumn("region", _region(F.col("tree")))
+    ends = spread.groupBy("region").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
     )
-
-    def table(out, kind):
-        a, b, e = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, kind), pa.array(b, kind), pa.array(e, pa.float64())], names=schema.names
-        )
+    regions = materialize(ends.filter("low <> high").select("region", "n"))
+    rows = _semi(spread.select("region", "node", "component", "sketch"), regions, "region", "n")
+    rows = _in_blocks(rows, regions)
+    order = ["region", "cell"]
+    kind = held.schema["node"].dataType
+    schema = T.StructType([T.StructField(c, kind) for c in "ab"] + [T.StructField("estimate", T.FloatType())])
+
+    def compared(table: pa.Table):
+        batch = table.combine_chunks().to_batches()[0]
+        region, cell = (batch.column(c).to_numpy() for c in order)
+        start = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (cell[1:] != cell[:-1])))
+        codes = batch.column("component").dictionary_encode().indices.to_numpy()
+        side = batch.column("side").to_numpy()
+        i, j, like = _met(start, codes, side, _columns(batch, "sketch", "<u8", MINHASHES // 16))
+        if not every and len(i):
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, batch.num_rows)))
+            kept = np.array(_spanning(list(zip(group.tolist(), codes.tolist(), strict=True)), i, j, like), np.int64)
+            i, j, like = i[kept], j[kept], like[kept]
+        ids = batch.column("node")
+        for low in range(0, len(i), OUT_ROWS):
+            part = slice(low, low + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(i[part])), ids.take(pa.array(j[part])), pa.array(like[part], pa.float32())],
+                names=schema.names,
+            )
 
     def run(batches):
-        before, region = None, None
-        held = None  # the last row so far: it may be the first of a region
+        held_back: list[pa.Table] = []  # the rows of the last group so far, and whole groups before it
+        size = 0
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            held_back.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size < STEP_ROWS or not batch.num_rows:
                 continue
-            keys = batch.column("group").to_pylist()
-            trees = batch.column("tree").to_pylist()
-            ids, parts = batch.column("node"), batch.column("component")
-            sketches, stays = batch.column("sketch"), batch.column("stays")
-            out = []
-            take = lambda k: (
-                ids[k].as_py(),
-                parts[k].as_py(),
-                np.frombuffer(sketches[k].as_py(), np.uint8),
-                stays[k].as_py(),
-            )
-            for k in range(n):
-                here = (trees[k], keys[k])
-                if here != before:
-                    before, region, held = here, None, k
-                    continue
-                if region is None:
-                    region = _Region(first_pass, best, whole)
-                    region.add(*(held if isinstance(held, tuple) else take(held)))
-                out += region.add(*take(k))
-                if len(out) >= OUT_ROWS:
-                    yield table(out, ids.type)
-                    out = []
-            if region is None and not isinstance(held, tuple):
-                held = take(held)
-            if out:
-                yield table(out, ids.type)
-
-    return ordered.mapInArrow(run, schema)
-
-
-def _pairs(nodes: DataFrame, tried: DataFrame | None, growth: int, whole: bool) -> tuple[DataFrame, bool]:
-    """The distinct pairs (a < b) to confirm in this pass, and whether any were left out; ``tried``
-    is None in the first."""
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    if tried is None:
-        found = _candidates(nodes, True, TREE_BEST, False).filter(F.col("a") != F.col("b"))
-        return materialize(found.select(*ordered).distinct()), True
-    found = materialize(_candidates(nodes, False, TREE_BEST * growth, whole).distinct())
-    more = not found.filter(F.col("a").isNull()).isEmpty()
-    found = found.filter(F.col("a") != F.col("b"))
-    keyed = found.select(*ordered, "estimate", F.col("a").alias("candidate"), F.col("b").alias("node"))
-    best = materialize(
-        keyed.join(tried, ["a", "b"], "left_anti")
-        .groupBy("node")
-        .agg(F.sort_array(F.collect_set(F.struct("estimate", "candidate")), False).alias("best"))
-        .select(
-            "node",
-            F.explode(F.slice("best.candidate", 1, PASS_BEST * growth)).alias("candidate"),
-            (F.size("best") > PASS_BEST * growth).alias("more"),
-        )
+            table = pa.concat_tables(held_back)
+            region, cell = (table.column(c).to_numpy() for c in order)
+            last = int(np.flatnonzero((region != region[-1]) | (cell != cell[-1]))[-1:].sum()) + 1
+            if region[0] == region[-1] and cell[0] == cell[-1]:
+                last = 0
+            if last:
+                yield from compared(table.slice(0, last))
+            held_back, size = [table.slice(last)], table.num_rows - last
+        if size:
+            yield from compared(pa.concat_tables(held_back))
+
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _distinct(found: DataFrame) -> DataFrame:
+    ends = found.filter(F.col("a") != F.col("b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate"
     )
-    more = more or not best.filter("more").isEmpty()
-    pairs = best.select(F.least("node", "candidate").alias("a"), F.greatest("node", "candidate").alias("b"))
-    pairs = materialize(pairs.distinct())
-    forget(found)
-    forget(best)
-    return pairs, more
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
-    """The pairs whose full shingle sets have at least the asked share in common."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = materialize(ids)
-    few = ids.count() <= MAX_BROADCAST_IDS
-    own = materialize(texts.join(F.broadcast(ids) if few else ids, "id"))
-    left = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return materialize(ends.groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
+    """Links of the groups that ``pairs`` join: full shingle sets with at least the asked share in common.
+
+    Documents are hashed into blocks and pairs go to pairs of blocks, where each text comes
+    once, however many pairs it has. Best estimates come first; a pair whose ends are
+    already linked there, through others, is not looked at.
+    """
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sizes = held.select("node", "n_shingles").join(ids, "node").agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    blocks = max(1, -(-sizes[0] // CONFIRM_NODES), -(-int(sizes[1] or 0) // CONFIRM_SHINGLES))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    low, high = F.least(spot("a"), spot("b")), F.greatest(spot("a"), spot("b"))
+    keyed = pairs.withColumn("block", low * blocks + high)
+    ends = keyed.select("block", F.col("a").alias("id")).union(keyed.select("block", "b")).distinct()
+    ends = materialize(ends)
+    few = ends.count() <= MAX_BROADCAST_ROWS
+    own = texts.join(F.broadcast(ends) if few else ends, "id").select("block", "id", "text")
     percent = round(share * 100)
 
-    def run(batches):
-        for batch in batches:
-            for part in steps(batch, "text_b"):
-                wa, ata = words(part.column("text_a"), BLANK_BYTES)
-                wb, atb = words(part.column("text_b"), BLANK_BYTES)
-                good = []
-                for k in range(part.num_rows):
-                    x = shingles(wa[ata[k] : ata[k + 1]], size)
-                    y = shingles(wb[atb[k] : atb[k + 1]], size)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    links = materialize(rows.mapInArrow(run, pairs.select("a", "b").schema).distinct())
-    forget(own)
-    forget(ids)
+    def confirm(some: pa.Table, own: pa.Table) -> pa.Table:
+        found: dict = {}
+        for batch in own.combine_chunks().to_batches():
+            for part in steps(batch, "text"):
+                w, at = words(part.column("text"), BLANK_BYTES)
+                for k, node in enumerate(part.column("id").to_pylist()):
+                    found.setdefault(node, []).append(shingles(w[at[k] : at[k + 1]], size))
+        a, b = some.column("a").to_pylist(), some.column("b").to_pylist()
+        root: dict = {}
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        def linked(x, y):
+            least, most = min(len(x), len(y)), max(len(x), len(y))
+            if not least or 100 * least < percent * most:
+                return False
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * both >= percent * (least + most - both)
+
+        out = []
+        for k in np.argsort(-some.column("estimate").to_numpy(), kind="stable").tolist():
+            x, y = find(a[k]), find(b[k])
+            if x != y and any(linked(s, t) for s in found.get(a[k], ()) for t in found.get(b[k], ())):
+                root[x] = y
+                out.append(k)
+        return some.select(["a", "b"]).take(pa.array(out, pa.int64()))
+
+    schema = pairs.select("a", "b").schema
+    links = materialize(keyed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(confirm, schema))
+    forget(ends)
     return links
 
 
+def _texts_of_ids(signed: DataFrame, whole: Column, nodes: DataFrame) -> tuple[bool, DataFrame | None]:
+    """Whether ids repeat, and the links between the different texts of one id (None without any)."""
+    by = signed.filter(whole).groupBy("id")
+    by = by.agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    repeats, differ = by.agg(F.max("n") > 1, F.max(F.col("low") != F.col("high"))).first()
+    if not differ:
+        return bool(repeats), None
+    several = by.filter(F.col("low") != F.col("high")).select("id")
+    members = signed.filter(whole).join(several, "id").select("id", "digest").distinct()
+    members = members.join(nodes.select("digest", "node"), "digest")
+    first = members.groupBy("id").agg(F.min("node").alias("a"))
+    links = members.join(first, "id").select("a", F.col("node").alias("b")).filter("a <> b")
+    return True, materialize(links.distinct())
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: float = 0.75
 ) -> DataFrame:
@@ -353,11 +445,12 @@ def near_duplicates(
     * Documents with equal sets are one node from the start, so copies, however
       many, cost no pairs; other columns are not read.
 
-    The first pass proposes about one link a document and tree; each later pass
-    compares only different components and confirms pairs not tried before. The
-    last one finds no link and leaves no such pair out. No group is collected:
-    trees are streamed in sorted order, state is a bounded window, and at the end
-    large regions are compared by pairs of blocks.
+    Three passes propose pairs by sketches and confirm them by full sets: neighbours
+    in each tree's order; the best pairs between components that share a region; and
+    then every like pair of different components that share a region, so that none
+    is left untried. What can be missed is a pair that shares no region in any tree or
+    whose estimate lies four deviations low. No group is collected: trees are streamed
+    in sorted order, large regions are compared by pairs of blocks.
     """
     signed = materialize(_signatures(docs, id_col, text_col, size))
     whole = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
@@ -367,34 +460,30 @@ def near_duplicates(
         .agg(
             F.min("id").alias("node"),
             F.count(F.lit(1)).alias("n"),
+            F.first("n_shingles").alias("n_shingles"),
             F.first("mins").alias("mins"),
             F.first("sketch").alias("sketch"),
         )
     )
     texts = docs.select(F.col(name(id_col)).alias("id"), F.col(name(text_col)).alias("text"))
-    tried = links = roots = None
-    growth, blocks = 1, False
-    while True:
-        first_pass = roots is None
-        if first_pass:
-            placed = nodes.withColumn("component", F.col("node"))
-        else:
-            placed = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-        pairs, more = _pairs(placed, tried, growth, blocks)
-        fresh = _confirmed(pairs, texts, size, share)
-        found = not fresh.isEmpty()
-        tried = pairs if tried is None else materialize(tried.union(pairs))
-        if first_pass or found:
-            links = fresh if links is None else materialize(links.union(fresh))
-            forget(roots)
-            roots = connected_components(links)
-        if not found:
-            if not more:
-                break
-            growth, blocks = growth * GROWTH, True
+    repeats, links = _texts_of_ids(signed, whole, nodes)
+    if repeats:
+        texts = texts.distinct()
+    held = _held(nodes.drop("digest", "n"))
+    links = links if links is not None else materialize(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    roots = None
+    for propose in (_neighbours, lambda h: _across(h, roots, False), lambda h: _across(h, roots, True)):
+        pairs = _distinct(propose(held))
+        fresh = _confirmed(pairs, held, texts, size, share)
+        links = links.union(fresh)
+        forget(pairs)
+        forget(roots)
+        roots = connected_components(links)
     known = materialize(
         nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("component_id"))
     )
+    for old in (held, roots, nodes):
+        forget(old)
     placed = join_counted(signed.filter(whole).select("id", "n_shingles", "digest"), known, ["digest"], "n")
     alone = signed.filter(~F.coalesce(whole, F.lit(False)))
     out = placed.select("id", "n_shingles", "component_id").unionByName(

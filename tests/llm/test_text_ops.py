@@ -230,8 +230,10 @@ def in_one_region(monkeypatch):
     monkeypatch.setattr(near_dup, "_signatures", lambda *a: signatures(*a).withColumn("mins", mins))
 
 
-def test_region_of_more_than_the_window(spark, monkeypatch):
+@pytest.mark.parametrize("block", [8192, 300])
+def test_region_of_more_than_the_window(spark, monkeypatch, block):
     in_one_region(monkeypatch)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     texts = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}" for k in range(2300)]
     texts[1] = texts[0] + " x"  # a link for the first pass
     texts[2200:2203] = [t + " x" for t in texts[20:23]]
@@ -247,6 +249,25 @@ def test_first_pass_without_a_link(spark, monkeypatch):
     assert [(r.doc_id, r.component_id) for r in out] == [(35, 2)]
 
 
+def test_two_documents_among_look_alikes(spark):
+    """A and B just above the threshold, each with many look-alikes just below it."""
+    rng = random.Random(21)
+    word = lambda: "w" + str(rng.randint(0, 10**9))
+    both = [word() for _ in range(515)]  # 511 shingles
+    a, b = both + [word() for _ in range(85)], both + [word() for _ in range(85)]
+    assert plain_components([(0, " ".join(a)), (1, " ".join(b))])[1][2] == 0
+    texts = [" ".join(a), " ".join(b)]
+    for one in (a, b):
+        for _ in range(150):
+            texts.append(" ".join(one[:506] + [word() for _ in range(94)]))
+    random.Random(22).shuffle(texts)
+    out = near_duplicates(frame(spark, texts))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()), key=str)
+    want = plain_components(list(enumerate(texts)))
+    assert sum(not r[3] for r in want) == 1
+    assert got == want
+
+
 def test_shingle_hashes_agree_with_sets():
     texts = ["a b  c\td e\nF", "A B C D E f", None, "", "x", "x y", "é " * 9, "w " * 400_000]
     w, at = words(pa.array(texts), BLANK_BYTES)
@@ -259,7 +280,7 @@ def test_estimates_follow_similarity():
     rng = np.random.default_rng(2)
     both, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (600, 100, 100))
     x, y = (near_dup.sketch_of(near_dup.minhashes(np.concatenate([both, o]))) for o in (a, b))
-    assert abs(near_dup.estimates(x[None], y)[0] - 0.75) < 0.12
+    assert abs(near_dup.estimates(x.view("<u8"), y.view("<u8")) - 0.75) < 0.12
 
 
 def test_components(spark):
