@@ -30,8 +30,8 @@ NEIGHBOURS, BEST = 16, 4
 #: Minhashes in all; the low four bits of each make the sketch that estimates similarity.
 #: Its deviation is 0.027 at 0.75, so what is confirmed starts four deviations below.
 MINHASHES, LEAST_ESTIMATE = 288, 0.645
-#: Nodes of a region that one task compares (200 bytes each); larger ones are cut into pairs of blocks.
-BLOCK = 8192
+#: Nodes of a region that one task compares (300 bytes each); larger ones are cut into pairs of blocks.
+BLOCK = 2048
 #: Groups of at most so many rows are compared side by side, larger ones in tiles of so many pairs.
 SMALL, TILE_PAIRS = 32, 1 << 20
 #: Rows that a comparing task gathers before it hands groups on, and candidates it hands on at once.
@@ -108,8 +108,9 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     return base.mapInArrow(run, schema)
 
 
-def _spanning(labels: list, a: np.ndarray, b: np.ndarray, like: np.ndarray) -> list[int]:
-    """Of edges between the labels at ``a`` and ``b`` those, best first, that join two groups."""
+def _spanning(labels: list, a: np.ndarray, b: np.ndarray, like: np.ndarray, holds=None) -> np.ndarray:
+    """Of edges between the labels at ``a`` and ``b`` those, best first, that join two groups and for
+    which ``holds(a, b)``, asked only of these."""
     root: dict = {}
 
     def find(x):
@@ -123,10 +124,20 @@ def _spanning(labels: list, a: np.ndarray, b: np.ndarray, like: np.ndarray) -> l
     a, b = a.tolist(), b.tolist()
     for k in order:
         x, y = find(labels[a[k]]), find(labels[b[k]])
-        if x != y:
+        if x != y and (holds is None or holds(a[k], b[k])):
             root[x] = y
             out.append(k)
-    return out
+    return np.array(out, np.int64)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, share: float) -> bool:
+    """Whether two ascending sets have at least the share in common."""
+    percent = round(share * 100)
+    least, most = min(len(x), len(y)), max(len(x), len(y))
+    if not least or 100 * least < percent * most:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (least + most - both)
 
 
 def _columns(batch: pa.RecordBatch, column: str, kind: str, width: int) -> np.ndarray:
@@ -200,7 +211,7 @@ def _neighbours(held: DataFrame) -> DataFrame:
             if found:
                 i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
                 i, j, like = _best(i, j, like)
-                kept = np.array(_spanning(list(range(n)), i, j, like), np.int64)
+                kept = _spanning(list(range(n)), i, j, like)
                 ids = both.column("node")
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(i[kept])), ids.take(pa.array(j[kept])), pa.array(like[kept], pa.float32())],
@@ -291,65 +302,166 @@ def _met(start: np.ndarray, component: np.ndarray, side: np.ndarray, sketch: np.
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _across(held: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
-    """Candidates (a, b, estimate) between components that share a region.
-
-    All rows of a region meet. With ``every`` all like pairs of different components are
-    proposed, otherwise those that join two components of the region, best estimate first.
-    """
+def _open_rows(held: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the regions that hold several components: region, cell, side, node, component and ``columns``."""
     placed = held.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     spread = placed.withColumn("tree", F.explode("trees")).withColumn("region", _region(F.col("tree")))
     ends = spread.groupBy("region").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
     )
     regions = materialize(ends.filter("low <> high").select("region", "n"))
-    rows = _semi(spread.select("region", "node", "component", "sketch"), regions, "region", "n")
-    rows = _in_blocks(rows, regions)
+    every = F.array(*[_region(F.lit(t)) for t in range(TREES)]).alias("regions")
+    rows = spread.select("region", "node", "component", *[every if c == "regions" else F.col(c) for c in columns])
+    return _in_blocks(_semi(rows, regions, "region", "n"), regions)
+
+
+def _grouped(rows: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """``work`` gives batches for a batch of whole (region, cell) groups and the groups' first rows."""
     order = ["region", "cell"]
-    kind = held.schema["node"].dataType
-    schema = T.StructType([T.StructField(c, kind) for c in "ab"] + [T.StructField("estimate", T.FloatType())])
 
-    def compared(table: pa.Table):
-        batch = table.combine_chunks().to_batches()[0]
+    def whole(tables: list[pa.Table]):
+        batch = pa.concat_tables(tables).combine_chunks().to_batches()[0]
         region, cell = (batch.column(c).to_numpy() for c in order)
-        start = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (cell[1:] != cell[:-1])))
-        codes = batch.column("component").dictionary_encode().indices.to_numpy()
-        side = batch.column("side").to_numpy()
-        i, j, like = _met(start, codes, side, _columns(batch, "sketch", "<u8", MINHASHES // 16))
-        if not every and len(i):
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, batch.num_rows)))
-            kept = np.array(_spanning(list(zip(group.tolist(), codes.tolist(), strict=True)), i, j, like), np.int64)
-            i, j, like = i[kept], j[kept], like[kept]
-        ids = batch.column("node")
-        for low in range(0, len(i), OUT_ROWS):
-            part = slice(low, low + OUT_ROWS)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(i[part])), ids.take(pa.array(j[part])), pa.array(like[part], pa.float32())],
-                names=schema.names,
-            )
+        return work(batch, np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (cell[1:] != cell[:-1]))))
 
     def run(batches):
-        held_back: list[pa.Table] = []  # the rows of the last group so far, and whole groups before it
+        held_back: list[pa.Table] = []  # whole groups, and the rows of the last one so far
         size = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held_back.append(pa.Table.from_batches([batch]))
             size += batch.num_rows
-            if size < STEP_ROWS or not batch.num_rows:
+            if size < STEP_ROWS:
                 continue
             table = pa.concat_tables(held_back)
             region, cell = (table.column(c).to_numpy() for c in order)
-            last = int(np.flatnonzero((region != region[-1]) | (cell != cell[-1]))[-1:].sum()) + 1
-            if region[0] == region[-1] and cell[0] == cell[-1]:
-                last = 0
+            before = np.flatnonzero((region != region[-1]) | (cell != cell[-1]))
+            last = int(before[-1]) + 1 if len(before) else 0
             if last:
-                yield from compared(table.slice(0, last))
+                yield from whole([table.slice(0, last)])
             held_back, size = [table.slice(last)], table.num_rows - last
         if size:
-            yield from compared(pa.concat_tables(held_back))
+            yield from whole(held_back)
 
     return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+def _group_of(start: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+
+
+def _across(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates (a, b, estimate) of the second pass: all rows of a region meet, and of the like pairs
+    of different components those are proposed that join two of them, best estimate first."""
+    kind = held.schema["node"].dataType
+    schema = T.StructType([T.StructField(c, kind) for c in "ab"] + [T.StructField("estimate", T.FloatType())])
+
+    def work(batch: pa.RecordBatch, start: np.ndarray):
+        codes = batch.column("component").dictionary_encode().indices.to_numpy()
+        sketch = _columns(batch, "sketch", "<u8", MINHASHES // 16)
+        i, j, like = _met(start, codes, batch.column("side").to_numpy(), sketch)
+        if len(i):
+            labels = list(zip(_group_of(start, batch.num_rows).tolist(), codes.tolist(), strict=True))
+            kept = _spanning(labels, i, j, like)
+            ids = batch.column("node")
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(i[kept])), ids.take(pa.array(j[kept])), pa.array(like[kept], pa.float32())],
+                names=schema.names,
+            )
+
+    return _grouped(_open_rows(held, roots, ["sketch"]), work, schema)
+
+
+def _first_met(regions: np.ndarray, region: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs meet in no earlier tree than in that of their own region."""
+    out = np.empty(len(i), bool)
+    for low in range(0, len(i), OUT_ROWS):
+        part = slice(low, low + OUT_ROWS)
+        a, b = regions[i[part]], regions[j[part]]
+        first = np.argmax(a == b, axis=1)
+        out[part] = a[np.arange(len(a)), first] == region[i[part]]
+    return out
+
+
+def _settled(held: DataFrame, roots: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
+    """Links of the last pass: every like pair of different components that shares a region is confirmed.
+
+    Pairs are not handed on. Where rows of a region meet, each row that has a partner is
+    put into blocks of at most CONFIRM_NODES rows of the region, and goes, with its text, to the
+    pairs of blocks in which it has one: as many copies as the region has blocks, at most.
+    There pairs are found once more and confirmed, best estimate first, until all that
+    are not linked through others have been looked at. A pair that shares several regions
+    is taken in the one of the first tree.
+    """
+    columns = ["n_shingles", "sketch", "regions"]
+    rows = _open_rows(held, roots, columns)
+    kept = ["region", "cell", "side", "node", "component", *columns]
+    schema = T.StructType(
+        [rows.schema[c] for c in kept] + T.StructType.fromDDL("low int, high int, block int").fields
+    )
+
+    def regions_of(batch):
+        return batch.column("regions").flatten().to_numpy().reshape(batch.num_rows, TREES)
+
+    def spread(batch: pa.RecordBatch, start: np.ndarray):
+        codes = batch.column("component").dictionary_encode().indices.to_numpy()
+        sketch = _columns(batch, "sketch", "<u8", MINHASHES // 16)
+        i, j, _ = _met(start, codes, batch.column("side").to_numpy(), sketch)
+        first = _first_met(regions_of(batch), batch.column("region").to_numpy(), i, j)
+        i, j = i[first], j[first]
+        if not len(i):
+            return
+        group = _group_of(start, batch.num_rows)
+        used = np.unique(np.concatenate([i, j]))
+        begins = np.flatnonzero(np.append(True, group[used][1:] != group[used][:-1]))
+        runs = np.diff(np.append(begins, len(used)))
+        rank = np.arange(len(used)) - np.repeat(begins, runs)
+        weight = np.cumsum(batch.column("n_shingles").to_numpy()[used])
+        weight -= np.repeat(weight[begins], runs)
+        block = np.zeros(batch.num_rows, np.int64)
+        block[used] = np.maximum(rank // CONFIRM_NODES, weight // CONFIRM_SHINGLES)
+        low, high = np.minimum(block[i], block[j]), np.maximum(block[i], block[j])
+        goes = np.unique(np.concatenate([np.stack([low, high, k], 1) for k in (i, j)]), axis=0)
+        at = pa.array(goes[:, 2])
+        extra = [goes[:, 0], goes[:, 1], block[goes[:, 2]]]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c).take(at) for c in kept], *[pa.array(x.astype(np.int32)) for x in extra]], names=schema.names
+        )
+
+    placed = materialize(_grouped(rows, spread, schema))
+    ids = materialize(placed.select(F.col("node").alias("id")).distinct())
+    few = ids.count() <= MAX_BROADCAST_ROWS
+    own = texts.join(F.broadcast(ids) if few else ids, "id").join(placed.withColumnRenamed("node", "id"), "id")
+    kind = held.schema["node"].dataType
+
+    def confirm(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        sets = []
+        for part in steps(batch, "text"):
+            w, at = words(part.column("text"), BLANK_BYTES)
+            sets += [shingles(w[at[k] : at[k + 1]], size) for k in range(part.num_rows)]
+        codes = batch.column("component").dictionary_encode().indices.to_numpy()
+        side, block = batch.column("side").to_numpy(), batch.column("block").to_numpy()
+        apart = batch.column("low")[0].as_py() != batch.column("high")[0].as_py()
+        sketch = _columns(batch, "sketch", "<u8", MINHASHES // 16)
+        i, j, like = _met(np.zeros(1, np.int64), codes, side, sketch)
+        good = _first_met(regions_of(batch), batch.column("region").to_numpy(), i, j)
+        if apart:
+            good &= block[i] != block[j]
+        i, j, like = i[good], j[good], like[good]
+        labels = codes.tolist()
+        found = _spanning(labels, i, j, like, lambda a, b: _alike(sets[a], sets[b], share))
+        ids = batch.column("id")
+        return pa.table({"a": ids.take(pa.array(i[found])), "b": ids.take(pa.array(j[found]))})
+
+    links = T.StructType([T.StructField(c, kind) for c in "ab"])
+    out = materialize(own.groupBy("region", "cell", "low", "high").applyInArrow(confirm, links))
+    forget(placed)
+    forget(ids)
+    return out
+
+
 def _distinct(found: DataFrame) -> DataFrame:
     ends = found.filter(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate"
@@ -374,7 +486,6 @@ def _confirmed(pairs: DataFrame, held: DataFrame, texts: DataFrame, size: int, s
     ends = materialize(ends)
     few = ends.count() <= MAX_BROADCAST_ROWS
     own = texts.join(F.broadcast(ends) if few else ends, "id").select("block", "id", "text")
-    percent = round(share * 100)
 
     def confirm(some: pa.Table, own: pa.Table) -> pa.Table:
         found: dict = {}
@@ -383,29 +494,15 @@ def _confirmed(pairs: DataFrame, held: DataFrame, texts: DataFrame, size: int, s
                 w, at = words(part.column("text"), BLANK_BYTES)
                 for k, node in enumerate(part.column("id").to_pylist()):
                     found.setdefault(node, []).append(shingles(w[at[k] : at[k + 1]], size))
-        a, b = some.column("a").to_pylist(), some.column("b").to_pylist()
-        root: dict = {}
-
-        def find(x):
-            while (up := root.get(x, x)) != x:
-                root[x] = root.get(up, up)
-                x = up
-            return x
-
-        def linked(x, y):
-            least, most = min(len(x), len(y)), max(len(x), len(y))
-            if not least or 100 * least < percent * most:
-                return False
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (least + most - both)
-
-        out = []
-        for k in np.argsort(-some.column("estimate").to_numpy(), kind="stable").tolist():
-            x, y = find(a[k]), find(b[k])
-            if x != y and any(linked(s, t) for s in found.get(a[k], ()) for t in found.get(b[k], ())):
-                root[x] = y
-                out.append(k)
-        return some.select(["a", "b"]).take(pa.array(out, pa.int64()))
+        # by node, each with the sets of its texts
+        names = {node: k for k, node in enumerate(found)}
+        sets = list(found.values())
+        a, b = (np.array([names.get(x, -1) for x in some.column(c).to_pylist()], np.int64) for c in "ab")
+        there = np.flatnonzero((a >= 0) & (b >= 0))
+        holds = lambda x, y: any(_alike(s, t, share) for s in sets[x] for t in sets[y])
+        like = some.column("estimate").to_numpy()[there]
+        kept = there[_spanning(list(range(len(sets))), a[there], b[there], like, holds)]
+        return some.select(["a", "b"]).take(pa.array(kept))
 
     schema = pairs.select("a", "b").schema
     links = materialize(keyed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(confirm, schema))
@@ -445,10 +542,10 @@ def near_duplicates(
     * Documents with equal sets are one node from the start, so copies, however
       many, cost no pairs; other columns are not read.
 
-    Three passes propose pairs by sketches and confirm them by full sets: neighbours
-    in each tree's order; the best pairs between components that share a region; and
-    then every like pair of different components that share a region, so that none
-    is left untried. What can be missed is a pair that shares no region in any tree or
+    Three passes compare sketches and confirm pairs by full sets: neighbours in each
+    tree's order; the best pairs between components that share a region; and then
+    every like pair of different components that share a region, so that none is
+    left untried. What can be missed is a pair that shares no region in any tree or
     whose estimate lies four deviations low. No group is collected: trees are streamed
     in sorted order, large regions are compared by pairs of blocks.
     """
@@ -472,18 +569,21 @@ def near_duplicates(
     held = _held(nodes.drop("digest", "n"))
     links = links if links is not None else materialize(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     roots = None
-    for propose in (_neighbours, lambda h: _across(h, roots, False), lambda h: _across(h, roots, True)):
-        pairs = _distinct(propose(held))
-        fresh = _confirmed(pairs, held, texts, size, share)
+    for propose in (_neighbours, _across, None):
+        if propose is None:
+            fresh = _settled(held, roots, texts, size, share)
+        else:
+            pairs = _distinct(propose(held) if propose is _neighbours else propose(held, roots))
+            fresh = _confirmed(pairs, held, texts, size, share)
+            forget(pairs)
         links = links.union(fresh)
-        forget(pairs)
         forget(roots)
         roots = connected_components(links)
     known = materialize(
         nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("component_id"))
     )
     for old in (held, roots, nodes):
-        forget(old)
+        forget(old)  # ``known`` has been written
     placed = join_counted(signed.filter(whole).select("id", "n_shingles", "digest"), known, ["digest"], "n")
     alone = signed.filter(~F.coalesce(whole, F.lit(False)))
     out = placed.select("id", "n_shingles", "component_id").unionByName(

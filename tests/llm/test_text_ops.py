@@ -249,8 +249,12 @@ def test_first_pass_without_a_link(spark, monkeypatch):
     assert [(r.doc_id, r.component_id) for r in out] == [(35, 2)]
 
 
-def test_two_documents_among_look_alikes(spark):
+@pytest.mark.parametrize("blocks", [None, 40])
+def test_two_documents_among_look_alikes(spark, monkeypatch, blocks):
     """A and B just above the threshold, each with many look-alikes just below it."""
+    if blocks:
+        monkeypatch.setattr(near_dup, "CONFIRM_NODES", blocks)
+        monkeypatch.setattr(near_dup, "BLOCK", 10 * blocks)
     rng = random.Random(21)
     word = lambda: "w" + str(rng.randint(0, 10**9))
     both = [word() for _ in range(515)]  # 511 shingles
@@ -258,14 +262,11 @@ def test_two_documents_among_look_alikes(spark):
     assert plain_components([(0, " ".join(a)), (1, " ".join(b))])[1][2] == 0
     texts = [" ".join(a), " ".join(b)]
     for one in (a, b):
-        for _ in range(150):
+        for _ in range(400):
             texts.append(" ".join(one[:506] + [word() for _ in range(94)]))
-    random.Random(22).shuffle(texts)
-    out = near_duplicates(frame(spark, texts))
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()), key=str)
-    want = plain_components(list(enumerate(texts)))
-    assert sum(not r[3] for r in want) == 1
-    assert got == want
+    # look-alikes share at most 502 of 690 shingles with anything
+    out = near_duplicates(frame(spark, texts)).filter("NOT kept").collect()
+    assert [(r.doc_id, r.component_id) for r in out] == [(1, 0)]
 
 
 def test_shingle_hashes_agree_with_sets():
