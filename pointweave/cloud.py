@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.geometry import AXES, resolve_box, resolve_gridnums
-from pointweave.functions.tensors import determinant, entries, entry, project_2d
+from pointweave.functions.tensors import determinant, entries, entry, project_2d, with_eigensystem
 from pointweave.functions.text import num
 from pointweave.operators import deposit as deposits
 from pointweave.operators import knn, sph
@@ -185,6 +185,14 @@ class ParticleFrame:
             raise AttributeError(f"no {structure} smoothing: call compute_smoothing first")
         return found
 
+    def smoothing_tensors(self) -> DataFrame:
+        """(id, h??, l?, v??): H itself, its eigenvalues ascending, and their unit vectors, v<axis><number>,
+        whose largest component is positive."""
+        own = with_eigensystem(self._smoothing("covariant"), self.dim)
+        axes = AXES[: self.dim]
+        columns = [f"h{e}" for e in entries(self.dim)] + [f"l{j}" for j in range(self.dim)]
+        return own.select("id", *columns, *[f"v{a}{j}" for j in range(self.dim) for a in axes])
+
     def compute_density(self, kernel_name=None, structure=None) -> ParticleFrame:
         structure = self._default(structure, "structure")
         _check_structure(structure)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import product
+from math import comb
 
 from pointweave.functions.text import num
 
@@ -52,21 +54,25 @@ def wrapped(i: str, n: int) -> str:
     return f"((({i}) % {n} + {n}) % {n})"
 
 
-def _b_power(term: str, n: int) -> str:
-    return " * ".join([f"({term})"] * n)
-
-
 def _quintic_weight(offset: int) -> str:
-    """The fifth-order spline at distance |offset - d|, split at whole distances."""
-    x = f"({num(offset)} - {{d}})" if offset > 0 else f"({{d}} - {num(offset)})"
-    parts = [_b_power(f"3e0 - {x}", 5)]
-    # on d in [0, 1] the distance lies between two whole numbers
-    low = offset - 1 if offset > 0 else -offset
-    if low < 2:
-        parts.append(f"(-6e0) * {_b_power(f'2e0 - {x}', 5)}")
-    if low < 1:
-        parts.append(f"15e0 * {_b_power(f'1e0 - {x}', 5)}")
-    return f"(({' + '.join(parts)}) / 120e0)"
+    """The fifth-order spline at distance |offset - d| for d in [0, 1], as one polynomial by Horner's rule.
+
+    The spline is the sum over j of (-1)^j C(6, j) (3 - j - x)^5 / 120, each term where it is
+    positive. Offset o at d has the weight of offset 1 - o at 1 - d.
+    """
+    if offset < 1:
+        return _quintic_weight(1 - offset).replace("{d}", "(1e0 - {d})")
+    coefficients = [Fraction(0)] * 6
+    for j in range(6):
+        start = 3 - j - offset  # the term's base is start + d
+        if start >= 0:
+            for power in range(6):
+                share = comb(5, power) * Fraction(start) ** (5 - power)
+                coefficients[power] += (-1) ** j * comb(6, j) * share / 120
+    text = num(float(coefficients[5]))
+    for c in reversed(coefficients[:5]):
+        text = f"({text} * {{d}}" + (f" + {num(float(c))})" if c else ")")
+    return text
 
 
 #: Per scheme: how the base cell is found from s = position in cells, and the

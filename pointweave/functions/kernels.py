@@ -262,6 +262,17 @@ def axis_integral(kernel: Kernel, low: str, high: str) -> str:
     return f"({one(high)} - {one(low)})"
 
 
+def get_kernel_shapes_1d(spark, kernel_name: str, structure: str = "isotropic", samples: int = 100):
+    """Rows (i, q, value) of the normalised 1-D kernel at ``samples`` even steps from -support on."""
+    from pyspark.sql import functions as F
+
+    kernel = get_kernel(kernel_name, 1, structure)
+    step, low = num(2.0 * kernel.support / samples), num(-kernel.support)
+    rows = spark.range(samples).selectExpr("CAST(id AS INT) AS i", f"{low} + CAST(id AS DOUBLE) * {step} AS q")
+    rows = rows.withColumn("_q", F.abs("q"))
+    return rows.select("i", "q", F.expr(f"{num(kernel.sigma(1))} * ({kernel.value('_q', 1)})").alias("value"))
+
+
 def total_integral_separable(name: str, dim: int) -> float:
     kernel = get_kernel(name, dim, "separable")
     return separable_sigma(kernel, dim) * (2.0 * kernel.area_at(kernel.support, 1)) ** dim

@@ -25,6 +25,8 @@ def entry(a: str, b: str) -> str:
 
 
 def determinant(dim: int, p: str = "s") -> str:
+    if dim == 1:
+        return f"{p}xx"
     if dim == 2:
         return f"({p}xx * {p}yy - {p}xy * {p}xy)"
     return (

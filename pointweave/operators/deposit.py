@@ -69,16 +69,12 @@ def deposit_fixed(
         rows = rows.withColumn("_b", F.expr(f"CAST({base.format(s='_s')} AS INT)"))
         rows = rows.withColumn("_d", F.expr("_s - 0.5e0 - _b"))
         cells = ", ".join(f"named_struct('i', _b + ({o}), 'w', {w.format(d='_d')})" for o, w in weights.items())
-        if not periodic:
-            cells = f"filter(array({cells}), c -> c.i >= 0 AND c.i < {n})"
-        else:
-            cells = f"array({cells})"
-        rows = rows.withColumn(f"_c{a}", F.expr(cells)).drop("_s", "_b", "_d")
+        rows = rows.withColumn(f"_c{a}", F.expr(f"array({cells})")).drop("_s", "_b", "_d")
     for a, n in zip(axes, grid, strict=True):
-        rows = rows.withColumn(f"_c{a}", F.explode(f"_c{a}"))
-        index = f"_c{a}.i"
-        rows = rows.withColumn(f"i{a}", F.expr(wrapped(index, n)) if periodic else F.col(index))
-        rows = rows.withColumn(f"_w{a}", F.col(f"_c{a}.w")).drop(f"_c{a}")
+        # the outer form: of any other one the optimizer makes a filter that computes all weights once more
+        rows = rows.withColumn(f"_c{a}", F.explode_outer(f"_c{a}"))
+        rows = rows.withColumns({f"i{a}": F.col(f"_c{a}.i"), f"_w{a}": F.col(f"_c{a}.w")}).drop(f"_c{a}")
+        rows = _inside(rows, [a], [n], periodic)
     share = F.expr(" * ".join(["w", *[f"_w{a}" for a in axes]]))
     return _sum_cells(rows.withColumn("share", share), dim, fields, averaged)
 
@@ -100,7 +96,7 @@ def _deposit_separable(rows, fields, averaged, grid, box, kernel, periodic):
         if not periodic:
             low, high = f"greatest({low}, 0)", f"least({high}, {n - 1})"
         rows = rows.withColumns({"_lo": F.expr(low), "_hi": F.expr(high)}).filter("_lo <= _hi")
-        rows = rows.withColumn(f"i{a}", F.explode(F.expr("sequence(_lo, _hi)")))
+        rows = rows.withColumn(f"i{a}", F.explode_outer(F.expr("sequence(_lo, _hi)")))
         limit = num(kernel.support)
         rows = rows.withColumns(
             {
@@ -118,15 +114,15 @@ def _deposit_separable(rows, fields, averaged, grid, box, kernel, periodic):
 def _sampled(rows, grid, box, kernel, periodic, eta_crit, offset):
     """Particles below the grid's resolution: each sample's mass goes to its cell.
 
-    The sample table's size follows from eta_crit (samples.py), not from data.
+    The sample table is a literal of the plan; its size follows from eta_crit (samples.py), not from data.
     """
     dim = len(grid)
     axes = AXES[:dim]
-    table = sample_table(kernel, dim, eta_crit)
     names = [*[f"c{k}" for k in range(dim)], "mass"]
-    samples = rows.sparkSession.createDataFrame(table, ", ".join(f"{c} double" for c in names))
-    one = F.lit(0).alias("_one")
-    rows = rows.select("*", one).join(F.broadcast(samples.select("*", one)), "_one").drop("_one")
+    columns = [", ".join(num(row[k]) for row in sample_table(kernel, dim, eta_crit)) for k in range(dim + 1)]
+    table = ", ".join(f"array({values})" for values in columns)
+    rows = rows.withColumn("_sample", F.explode_outer(F.expr(f"arrays_zip({table})")))
+    rows = rows.withColumns({c: F.col("_sample").getField(str(k)) for k, c in enumerate(names)}).drop("_sample")
     cells = {
         f"i{a}": F.expr(floor_int(f"({a} + {offset[a]}) * {num(n / length)}"))
         for a, n, length in zip(axes, grid, box, strict=True)
@@ -169,8 +165,10 @@ def _integrated(rows, grid, box, kernel, periodic, rule, reach, q):
     for _ in range(dim - 1):
         cells = f"flatten({cells})"
     rows = rows.withColumn("_cells", F.expr(cells)).drop(*limits)
-    rows = rows.withColumn("_total", F.expr("aggregate(_cells, 0e0, (m, c) -> m + c.m)")).filter("_total > 0")
-    rows = rows.withColumn("_cell", F.explode("_cells")).drop("_cells").filter("_cell.m <> 0e0")
+    rows = rows.withColumn("_total", F.expr("aggregate(_cells, 0e0, (m, c) -> m + c.m)"))
+    # an inner explode, or a filter on _total alone, would be pushed down and compute all cells once more
+    rows = rows.withColumn("_cell", F.explode_outer("_cells")).drop("_cells")
+    rows = rows.filter("CASE WHEN _total > 0e0 THEN _cell.m <> 0e0 ELSE false END")
     rows = rows.withColumns({f"i{a}": F.col(f"_cell.i{a}") for a in axes})
     rows = rows.withColumn("share", F.expr("w * _cell.m / _total"))
     return _inside(rows, axes, grid, periodic)
@@ -181,6 +179,9 @@ def _deposit_radial(rows, fields, averaged, grid, box, kernel, periodic, structu
     axes = AXES[:dim]
     inverse_cells = {a: num(n / length) for a, n, length in zip(axes, grid, box, strict=True)}
     k = num(kernel.support)
+    if dim == 1 and structure == "covariant":
+        # one axis: H is a length
+        rows, structure = rows.withColumn("h", F.sqrt("sxx")), "isotropic"
     if structure == "isotropic":
         if periodic:
             rows = rows.withColumn("h", F.least("h", F.lit(_support_limit(box, kernel.support))))
@@ -189,8 +190,6 @@ def _deposit_radial(rows, fields, averaged, grid, box, kernel, periodic, structu
         q = f"sqrt({' + '.join(f's.d{a} * s.d{a}' for a in axes)}) / h"
         flat = "false"
     else:
-        if dim == 1:
-            raise ValueError("covariant deposits need two or three dimensions")
         limit = _support_limit(box, kernel.support) if periodic else None
         rows = with_eigensystem(rows, dim, limit)
         reach = {a: f"{k} * r{a}" for a in axes}

@@ -1,9 +1,11 @@
-"""K nearest neighbours by a join of grid buckets.
-
-Points fall into buckets; a query looks at its own bucket and the ring around it.
-It is final when its k-th distance is no larger than its distance to the edge of
-what was searched; the others look again with twice the ring. Small clouds are
-joined by broadcast.
+"""K nearest neighbours by a join of grid cells at levels that follow the density.
+
+Cells halve from level to level. A query starts one level below the deepest where its
+own cell holds k points, and looks at its cell and the ring around it, which hold that
+larger cell: so it joins at most 3 cells an axis, however dense or empty its
+surroundings, and finds k points. It is final when the k-th distance is no larger than
+what the ring covers; the others look once more at the level whose ring covers it.
+Small clouds are broadcast to all queries.
 """
 
 from __future__ import annotations
@@ -13,13 +15,18 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.functions.geometry import AXES, difference, floor_int, wrapped
+from pointweave.functions.geometry import AXES, difference
 from pointweave.functions.text import num
 from pointweave.sources.shared import written
 
 #: Points up to this number (some 100 bytes each) are broadcast to all queries.
 BROADCAST_POINTS = 4096
-MAX_BUCKETS_PER_AXIS = 4096
+#: Levels counted below the one where points that lie evenly fill a cell, and the deepest one.
+LEVELS_BELOW, DEEPEST = 8, 28
+#: Cells whose level is looked up by a broadcast (some 50 bytes each); more are joined.
+BROADCAST_CELLS = 250_000
+#: Points of one place that make it worth keeping only its first k.
+CROWDED = 64
 
 
 def _separation(dim: int, box) -> list[str]:
@@ -42,6 +49,7 @@ def nearest(
     dim: int,
     boxsize: tuple[float, ...] | None = None,
     carry: list[str] | None = None,
+    broadcast_points: int | None = None,
 ) -> DataFrame:
     """Edges (qid, nid, rank, dist, dx, dy, dz) of each query's ``k`` nearest points.
 
@@ -49,7 +57,8 @@ def nearest(
     are Euclidean, on a torus if ``boxsize`` is given; d = query - point. Equal
     distances go to the smaller id. ``carry`` names point columns that come along
     as ``n_<name>``, so that no later join is needed. A point that is also a query
-    finds itself. More neighbours than points raise IndexError.
+    finds itself. More neighbours than points raise IndexError. Clouds of up to
+    ``broadcast_points`` (BROADCAST_POINTS) points are compared with every query.
     """
     if not isinstance(k, int) or isinstance(k, bool) or k <= 0:
         raise ValueError(f"k must be a positive integer, not {k!r}")
@@ -64,62 +73,118 @@ def nearest(
         F.col("id").alias("nid"), *[F.col(a).cast("double").alias(f"n{a}") for a in axes], *[F.col(c).alias(f"n_{c}") for c in carry]
     )
     asked = queries.select("qid", *[F.col(a).cast("double").alias(f"q{a}") for a in axes])
-    if sides["n"] <= BROADCAST_POINTS:
+    if sides["n"] <= (BROADCAST_POINTS if broadcast_points is None else broadcast_points):
         every = asked.withColumn("_one", F.lit(0)).join(F.broadcast(own.withColumn("_one", F.lit(0))), "_one").drop("_one")
         return _ranked(every, dim, boxsize, k, carry, [])
     return _bucketed(own, asked, k, dim, boxsize, carry, sides)
 
 
+class _Cells:
+    """The cells of all levels: at each one cubes, or nearly, that halve those of the level above.
+
+    ``low`` and ``width`` give the domain. Axis a has one cell down to level
+    ``late[a]``, which is where its width is at least the cell's size; from there on
+    cells halve with the level, so a cell is never narrower than ``size(level)``.
+    """
+
+    def __init__(self, low: list[float], width: list[float], deepest: int, periodic: bool):
+        self.low, self.width, self.deepest, self.periodic = low, width, deepest, periodic
+        self.top = max(width)
+        self.late = [math.ceil(math.log2(self.top / w) - 1e-12) for w in width]
+        self.axes = AXES[: len(width)]
+
+    def finest(self, prefix: str) -> dict:
+        """Columns f?: the cell at the deepest level of the point in ``prefix`` + axis."""
+        out = {}
+        for a, low, width, late in zip(self.axes, self.low, self.width, self.late, strict=True):
+            n = 1 << max(0, self.deepest - late)
+            i = f"floor(({prefix}{a} - {num(low)}) * {num(n / width)})"
+            i = f"pmod({i}, {n})" if self.periodic else f"least(greatest({i}, 0), {n - 1})"
+            out[f"f{a}"] = F.expr(f"CAST({i} AS INT)")
+        return out
+
+    def at(self, level: str) -> dict[str, str]:
+        """Text of the cells b? at a level, from f?."""
+        return {
+            f"b{a}": f"shiftright(f{a}, least({self.deepest} - {level}, {max(0, self.deepest - late)}))"
+            for a, late in zip(self.axes, self.late, strict=True)
+        }
+
+    def ring(self, level: str) -> dict:
+        """Columns b?: arrays of the own cell and those beside it, each once."""
+        out = {}
+        for (b, own), late in zip(self.at(level).items(), self.late, strict=True):
+            n = f"shiftleft(1, greatest({level} - {late}, 0))"
+            if self.periodic:
+                text = f"array_distinct(transform(sequence({own} - 1, {own} + 1), i -> pmod(i, {n})))"
+            else:
+                text = f"sequence(greatest({own} - 1, 0), least({own} + 1, {n} - 1))"
+            out[b] = F.expr(text)
+        return out
+
+    def size(self, level: str) -> str:
+        return f"({num(self.top)} / shiftleft(1, {level}))"
+
+
 def _bucketed(own: DataFrame, asked: DataFrame, k: int, dim: int, box, carry: list[str], sides) -> DataFrame:
     axes = AXES[:dim]
     low = [0.0 if box else float(sides[f"lo{a}"]) for a in axes]
-    width = [box[j] if box else max(float(sides[f"hi{a}"]) - low[j], 1e-12) for j, a in enumerate(axes)]
-    held = max(1.0, 2.0 * k / 3**dim)  # points in a bucket, so that a ring of one finds 2 k
-    per_axis = max(1, min(MAX_BUCKETS_PER_AXIS, math.floor((sides["n"] / held) ** (1.0 / dim))))
-    cell = [w / per_axis for w in width]
-
-    def bucket(prefix: str, j: int, a: str) -> str:
-        i = floor_int(f"({prefix}{a} - {num(low[j])}) / {num(cell[j])}")
-        return wrapped(i, per_axis) if box else f"least(greatest({i}, 0), {per_axis - 1})"
-
-    homes = own.withColumns({f"b{a}": F.expr(bucket("n", j, a)) for j, a in enumerate(axes)})
-    left, done, ring = asked, [], 1
+    width = [float(box[j]) if box else float(sides[f"hi{a}"]) - low[j] for j, a in enumerate(axes)]
+    top = max(*width, 1e-300)
+    width = [max(w, top * 2.0**-DEEPEST) for w in width]
+    even = sum(math.log2(w / top) for w in width) / dim  # a flat domain has fewer cells of a size
+    middle = max(0, math.floor(math.log2(max(1.0, sides["n"] / k)) / dim - even))
+    deepest = min(DEEPEST, middle + LEVELS_BELOW)
+    cells = _Cells(low, width, deepest, box is not None)
+    keys = ["level", *[f"b{a}" for a in axes]]
+
+    homes = own.withColumns(cells.finest("n"))
+    fine = homes.groupBy(*[f"f{a}" for a in axes]).agg(F.count(F.lit(1)).alias("n"))
+    fine = written(fine)
+    if fine.agg(F.max("n")).first()[0] > CROWDED * k:
+        # of points in one place only the k with the smallest ids can be among k neighbours
+        place = Window.partitionBy(*[f"n{a}" for a in axes]).orderBy("nid")
+        homes = homes.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k).drop("_r")
+    homes = written(homes)
+    levels = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+    levels = levels.select("level", "n", *[F.expr(text).alias(b) for b, text in cells.at("level").items()])
+    filled = written(levels.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= k).select(*keys))
+
+    placed = asked.withColumns(cells.finest("q"))
+    chain = placed.select("qid", *[f"f{a}" for a in axes], F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level"))
+    chain = chain.select("qid", "level", *[F.expr(text).alias(b) for b, text in cells.at("level").items()])
+    few = filled.count() <= BROADCAST_CELLS
+    start = chain.join(F.broadcast(filled) if few else filled, keys).groupBy("qid").agg(F.max("level").alias("level"))
+    below = F.least(F.lit(deepest), F.coalesce("level", F.lit(0)) + 1)
+    left = written(placed.join(start, "qid", "left").withColumn("level", below))
+
+    done = []
+    ends = [f"q{a}" for a in axes] + [f"f{a}" for a in axes] + ["level"]
     while True:
-        last = 2 * ring + 1 >= per_axis
-        seekers = left
-        for j, a in enumerate(axes):
-            here = bucket("q", j, a)
-            if last:
-                reach = f"sequence(0, {per_axis - 1})"
-            elif box:
-                reach = f"transform(sequence({here} - {ring}, {here} + {ring}), i -> {wrapped('i', per_axis)})"
-            else:
-                reach = f"sequence(greatest({here} - {ring}, 0), least({here} + {ring}, {per_axis - 1}))"
-            seekers = seekers.withColumn(f"b{a}", F.expr(f"explode({reach})"))
-        margin = [
-            f"least(q{a} - {num(low[j])} - ({bucket('q', j, a)} - {ring}) * {num(cell[j])}, "
-            f"({bucket('q', j, a)} + {ring} + 1) * {num(cell[j])} - (q{a} - {num(low[j])}))"
-            if not box
-            else f"({ring} * {num(cell[j])})"
-            for j, a in enumerate(axes)
-        ]
-        pairs = seekers.join(homes, [f"b{a}" for a in axes])
-        edges = _ranked(pairs, dim, box, k, carry, [f"q{a}" for a in axes])
-        if last:
-            done.append(edges.drop(*[f"q{a}" for a in axes]))
-            break
-        found = Window.partitionBy("qid")
-        edge = margin[0] if dim == 1 else f"least({', '.join(margin)})"
-        judged = edges.withColumn(
-            "_final", (F.count(F.lit(1)).over(found) == k) & (F.max("dist").over(found) <= F.expr(edge))
-        )
+        seekers = left.withColumns(cells.ring("level"))
+        for a in axes:
+            seekers = seekers.withColumn(f"b{a}", F.explode_outer(f"b{a}"))
+        used = [r[0] for r in left.select("level").distinct().collect()]  # at most DEEPEST + 1 numbers
+        spread = homes.withColumn("level", F.explode(F.array(*[F.lit(x) for x in sorted(used)])))
+        spread = spread.withColumns({b: F.expr(text) for b, text in cells.at("level").items()})
+        pairs = seekers.join(spread.drop(*[f"f{a}" for a in axes]), keys)
+        edges = _ranked(pairs, dim, box, k, carry, ends)
+        every = " AND ".join(f"level - {late} <= 1" for late in cells.late)  # the ring is the whole domain
+        of = Window.partitionBy("qid")
+        reach = F.max("dist").over(of)
+        judged = edges.withColumn("_r", F.when(F.count(F.lit(1)).over(of) == k, reach))
+        judged = judged.withColumn("_final", F.expr(f"({every}) OR coalesce(_r <= {cells.size('level')} * (1e0 - 1e-9), false)"))
         judged = written(judged)
-        done.append(judged.filter("_final").drop("_final", *[f"q{a}" for a in axes]))
-        good = judged.filter(F.col("_final") & (F.col("rank") == 1)).select("qid")
-        left = written(left.join(good, "qid", "left_anti"))
+        done.append(judged.filter("_final").drop("_final", "_r", *ends))
+        # the ring of cells no smaller than the k-th distance so far holds all nearer points
+        sure = f"CAST(floor(log2({num(cells.top)} / nullif(_r * (1e0 + 1e-9), 0e0))) AS INT)"
+        nearer = F.expr(f"greatest(0, least(level - 1, coalesce({sure}, level - 1)))")
+        found = judged.filter("rank = 1").select("qid", "_final", nearer.alias("_next"))
+        after = left.join(found, "qid", "left").filter("NOT coalesce(_final, false)")
+        after = after.withColumn("level", F.coalesce("_next", F.greatest(F.lit(0), F.col("level") - 1)))
+        left = written(after.drop("_final", "_next"))
         if left.isEmpty():
             break
-        ring *= 2
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

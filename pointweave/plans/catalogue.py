@@ -18,6 +18,7 @@ from pointweave.functions.kernels import (
     RADIAL,
     SEPARABLE,
     get_kernel,
+    get_kernel_shapes_1d,
     separable_sigma,
     total_integral_separable,
     total_integral_spherical,
@@ -37,8 +38,11 @@ CELLS = {1: [64], 2: [24, 16], 3: [8, 6, 10]}
 
 
 def _rounded(df: DataFrame, keys: list[str], digits: int = 6, scale: float = 1.0) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *[F.round(F.col(c) / scale if scale != 1.0 else F.col(c), digits).alias(c) for c in rest])
+    def plain(c: str):
+        value = F.round(F.col(c) / scale if scale != 1.0 else F.col(c), digits)
+        return F.when(value == 0, F.lit(0.0)).otherwise(value).alias(c)  # no negative zero
+
+    return df.select(*keys, *[plain(c) for c in df.columns if c not in keys])
 
 
 def _frame(spark, sf_dir, name: str, dim: int, box: float | None = 1.0) -> ParticleFrame:
@@ -59,19 +63,17 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     for scheme in STENCILS:
         for dim in (1, 2, 3):
             for periodic in (True, False):
-                big = "V" if (scheme, dim) == ("pqs", 3) else "L"
-                value = "s" if big == "V" else "tax"
 
-                def fixed(spark, sf_dir, scheme=scheme, dim=dim, periodic=periodic, big=big, value=value):
-                    frame = _frame(spark, sf_dir, big, dim, 1.0 if periodic else None)
+                def fixed(spark, sf_dir, scheme=scheme, dim=dim, periodic=periodic):
+                    frame = _frame(spark, sf_dir, "L", dim, 1.0 if periodic else None)
                     extent = None if periodic else [(0.0, 1.0)] * dim
-                    found = frame.deposit(value, gridnums=CELLS[dim], kernel_name=scheme, extent=extent, return_weights=True)
+                    found = frame.deposit("tax", gridnums=CELLS[dim], kernel_name=scheme, extent=extent, return_weights=True)
                     return _rounded(found, [f"i{a}" for a in AXES[:dim]])
 
                 add(
                     f"deposit_{scheme}_{dim}d_{'periodic' if periodic else 'open'}",
                     fixed,
-                    oracle.fixed_deposit(big, dim, scheme, CELLS[dim], periodic, {"f0": value}),
+                    oracle.fixed_deposit("L", dim, scheme, CELLS[dim], periodic, {"f0": "tax"}),
                 )
 
     def mixed(spark, sf_dir):
@@ -198,18 +200,81 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         adaptive("cubic_spline", "covariant", 2, [64, 64], "midpoint", 0.0),
         oracle.radial_deposit("V", 2, K, "cubic_spline", "covariant", "midpoint", 0.0, [64, 64]),
     )
-    # eigenvectors in the sample branch and in projections have no counterpart in SQL
-    add("deposit_cov_sampled_2d", adaptive("cubic_spline", "covariant", 2, [16, 16]))
-    add("deposit_cov_3d", adaptive("cubic_spline", "covariant", 3, [6, 6, 6], "midpoint", 2.0))
-    add("deposit_cov_plane", adaptive("cubic_spline", "covariant", 2, [32, 32], "midpoint", 2.0, [0, 1]))
-    add("deposit_iso_plane", adaptive("cubic_spline", "isotropic", 2, [16, 16], "midpoint", 4.0, [0, 2]))
+    for dim, grid, eta in ((2, [16, 16], 4.0), (3, [6, 6, 6], 2.0)):
+        add(
+            "deposit_cov_sampled_2d" if dim == 2 else "deposit_cov_3d",
+            adaptive("cubic_spline", "covariant", dim, grid, "midpoint", eta),
+            oracle.radial_deposit("V", dim, K, "cubic_spline", "covariant", "midpoint", eta, grid),
+        )
+    for structure, grid, eta, plane in (("covariant", [32, 32], 2.0, (0, 1)), ("isotropic", [16, 16], 4.0, (0, 2))):
+        add(
+            f"deposit_{structure[:3]}_plane",
+            adaptive("cubic_spline", structure, 2, grid, "midpoint", eta, list(plane)),
+            oracle.radial_deposit("V", 2, K, "cubic_spline", structure, "midpoint", eta, grid, plane),
+        )
+    for rule in ("trapezoidal", "simpson"):
+        add(
+            f"deposit_iso_{rule}_3d",
+            adaptive("cubic_spline", "isotropic", 3, [12, 12, 12], rule, 1.0),
+            oracle.radial_deposit("V", 3, K, "cubic_spline", "isotropic", rule, 1.0, [12, 12, 12]),
+        )
+
+    def given(structure, dim, grid, lengths):
+        def run(spark, sf_dir):
+            frame = _frame(spark, sf_dir, "V", dim)
+            own = frame.df.select("id", F.expr(lengths).alias("hxx" if structure == "covariant" else "h"))
+            kind = "smoothing_tensors" if structure == "covariant" else "smoothing_lengths"
+            frame = frame.set_smoothing(structure, **{kind: own})
+            found = frame.deposit(
+                "s", gridnums=grid, adaptive=True, kernel_name="cubic_spline", structure=structure, return_weights=True
+            )
+            return _rounded(found, [f"i{a}" for a in AXES[:dim]])
+
+        return run
+
+    # lengths above half the box are cut to it; on one axis a tensor is a length
+    for name, structure, dim, grid, lengths in (
+        ("deposit_iso_clamped", "isotropic", 2, [16, 16], "0.4e0 + 0.3e0 * x"),
+        ("deposit_cov_1d", "covariant", 1, [64], "0.01e0 + 0.1e0 * x"),
+    ):
+        add(
+            name,
+            given(structure, dim, grid, lengths),
+            oracle.radial_deposit("V", dim, K, "cubic_spline", "isotropic", "midpoint", 4.0, grid, lengths=lengths),
+        )
+
+    part = [(0.3, 0.7), (0.35, 0.65)]
+
+    def open_domain(structure):
+        def run(spark, sf_dir):
+            frame = _frame(spark, sf_dir, "V", 2, None).compute_smoothing(num_neighbors=K, structure=structure)
+            found = frame.deposit(
+                "s", gridnums=[24, 20], extent=part, adaptive=True, kernel_name="lucy", structure=structure, return_weights=True
+            )
+            return _rounded(found, ["ix", "iy"])
+
+        return run
+
+    for structure in ("isotropic", "covariant"):
+        add(
+            f"deposit_{structure[:3]}_open",
+            open_domain(structure),
+            oracle.radial_deposit("V", 2, K, "lucy", structure, "midpoint", 4.0, [24, 20], extent=part, periodic=False),
+        )
+
+    def single(spark, sf_dir):
+        df = cloud(spark, sf_dir, "L").withColumn("id", F.lit(None).cast("long"))
+        frame = ParticleFrame.of(df.drop("z"), ["x", "y"], weights="w", boxsize=1.0, precision="float32")
+        return _rounded(frame.deposit("tax", gridnums=CELLS[2], kernel_name="cic", return_weights=True), ["ix", "iy"])
+
+    add("deposit_cic_float32", single, oracle.fixed_deposit("L32", 2, "cic", CELLS[2], True, {"f0": "tax"}))
 
     # -- neighbours --------------------------------------------------------------
-    def edges(name, dim, k, periodic, queries=None):
+    def edges(name, dim, k, periodic, queries=None, cells=False):
         def run(spark, sf_dir):
             points = cloud(spark, sf_dir, name)
             asked = points.withColumnRenamed("id", "qid") if queries is None else queries(spark, sf_dir)
-            found = neighbours.nearest(points, asked, k, dim, (1.0,) * dim if periodic else None)
+            found = neighbours.nearest(points, asked, k, dim, (1.0,) * dim if periodic else None, None, 0 if cells else None)
             return found.select("qid", "nid", "rank", F.round("dist", 6).alias("dist"))
 
         return run
@@ -218,8 +283,12 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         add(f"knn_{dim}d", edges("V", dim, K, False), oracle.knn("V", dim, K, False))
         if dim > 1:
             add(f"knn_periodic_{dim}d", edges("V", dim, K, True), oracle.knn("V", dim, K, True))
-    # bucket joins: more points than are broadcast
-    add("knn_orders_2d", edges("O", 2, 8, False), None)
+    # joins of cells: more points than are broadcast, or none broadcast
+    add("knn_orders_2d", edges("O", 2, 8, False), oracle.knn_of_many("O", 2, 8))
+    add("knn_clustered_2d", edges("K", 2, 8, False), oracle.knn_of_many("K", 2, 8))
+    for dim in (1, 2, 3):
+        add(f"knn_cells_periodic_{dim}d", edges("V", dim, K, True, None, True), oracle.knn("V", dim, K, True))
+    add("knn_cells_ties", edges("P", 2, 8, False, None, True), oracle.knn("P", 2, 8, False))
     add("knn_ties", edges("P", 2, 8, False), oracle.knn("P", 2, 8, False))
 
     def asked_grid(spark, sf_dir):
@@ -252,6 +321,12 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
 
         add(f"hmat_{dim}d", tensors, oracle.smoothing("V", dim, K, True, "covariant"))
 
+        def system(spark, sf_dir, dim=dim):
+            frame = _frame(spark, sf_dir, "V", dim).compute_smoothing(num_neighbors=K, structure="covariant")
+            return _rounded(frame.smoothing_tensors(), ["id"])
+
+        add(f"hmat_eigensystem_{dim}d", system, oracle.eigensystem("V", dim, K))
+
     def rho(kernel, structure, dim):
         def run(spark, sf_dir):
             frame = _frame(spark, sf_dir, "V", dim).compute_smoothing(num_neighbors=K, structure=structure)
@@ -317,23 +392,22 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     )
 
     # -- kernels and helpers -------------------------------------------------------
-    for name in RADIAL:
-        kernel = get_kernel(name)
-        step = num(2.0 * kernel.support / 100)
-        value = f"round({num(kernel.sigma(1))} * ({kernel.value('q', 1)}), 9)"
-        position = f"(-({num(kernel.support)})) + CAST(i AS DOUBLE) * {step}"
+    for name, structure in [(k, "isotropic") for k in RADIAL] + [(k, "separable") for k in SEPARABLE]:
 
-        def shape(spark, sf_dir, position=position, value=value):
-            rows = spark.range(100).selectExpr("CAST(id AS INT) AS i").withColumn("x", F.expr(position))
-            rows = rows.withColumn("q", F.abs("x"))
-            return rows.select("i", F.round("x", 6).alias("x"), F.expr(value).alias("value"))
+        def shape(spark, sf_dir, name=name, structure=structure):
+            found = get_kernel_shapes_1d(spark, name, structure)
+            return found.select("i", F.round("q", 6).alias("x"), F.round("value", 9).alias("value"))
 
+        published = oracle.Published(name)
         add(
-            f"kernel_shape_{name}",
+            f"kernel_shape_{name}" if structure == "isotropic" else f"kernel_shape_separable_{name}",
             shape,
-            f"SELECT i, round(x, 6) AS x, {value} AS value FROM (SELECT *, abs(x) AS q FROM "
-            f"(SELECT CAST(i AS INTEGER) AS i, {position} AS x FROM range(100) t(i)))",
+            f"SELECT i, round(x, 6) AS x, round({num(published.sigma(1))} * ({published.value('abs(x)', 1)}), 9) AS value FROM "
+            f"(SELECT CAST(i AS INTEGER) AS i, -({num(published.support)}) + CAST(i AS DOUBLE) * "
+            f"{num(2.0 * published.support / 100)} AS x FROM range(100) t(i))",
         )
+    for name in RADIAL:
+        kernel = get_kernel(name)
 
         def integral(spark, sf_dir, name=name):
             rows = [(d, float(total_integral_spherical(name, d, 4.0))) for d in (1, 2, 3)]
@@ -419,7 +493,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         found = project_2d(frame.tensors, (0, 1)).select("id", "hxx", "hxy", "hyy", "l0", "l1")
         return _rounded(found, ["id"])
 
-    add("project_2d", projected)
+    add("project_2d", projected, oracle.projected("V", K, (0, 1)))
 
     def edited(spark, sf_dir):
         frame = _frame(spark, sf_dir, "V", 2).add_fields("twice", F.col("s") * 2).add_fields("pair", ["s", "w"])

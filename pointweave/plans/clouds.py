@@ -32,6 +32,8 @@ _LINES = [
     "CAST(l_discount AS DOUBLE) AS disc",
     "CAST(l_quantity AS DOUBLE) / 50e0 AS qty",
 ]
+#: The same with positions and weights in single precision.
+_LINES_32 = [f"CAST(CAST({c.rsplit(' AS ', 1)[0]} AS FLOAT) AS DOUBLE) AS {c.rsplit(' AS ', 1)[1]}" for c in _LINES[:4]] + _LINES[4:]
 _PARTS = [
     "CAST(p_partkey AS BIGINT) AS id",
     "CAST(p_size AS DOUBLE) / 51e0 AS x",
@@ -41,6 +43,16 @@ _PARTS = [
 _CUSTOMERS = ["CAST(c_custkey AS BIGINT) AS id", "(CAST(c_acctbal AS DOUBLE) + 1000e0) / 11000e0 AS x", "1e0 AS w"]
 
 
+def _power(x: str) -> str:
+    """x to the sixth: most of what lay evenly is then close to 0."""
+    return " * ".join([f"({x})"] * 6)
+
+
+def _clustered(time: str) -> list[str]:
+    out = ["CAST(o_orderkey AS BIGINT) AS id", f"{_power('CAST(o_totalprice AS DOUBLE) / 500000e0')} AS x"]
+    return [*out, f"{_power(time)} AS y", "1e0 AS w"]
+
+
 def _orders(time: str) -> list[str]:
     return ["CAST(o_orderkey AS BIGINT) AS id", "CAST(o_totalprice AS DOUBLE) / 500000e0 AS x", f"{time} AS y", "1e0 AS w"]
 
@@ -49,9 +61,11 @@ def _orders(time: str) -> list[str]:
 CLOUDS: dict[str, tuple[str, list[str], list[str]]] = {
     "V": ("embeddings", _vectors(_component), _vectors(_component_duck)),
     "L": ("lineitem", _LINES, _LINES),
+    "L32": ("lineitem", _LINES_32, _LINES_32),
     "P": ("part", _PARTS, _PARTS),
     "C": ("customer", _CUSTOMERS, _CUSTOMERS),
     "O": ("orders", _orders(_TIME_SPARK), _orders(_TIME)),
+    "K": ("orders", _clustered(_TIME_SPARK), _clustered(_TIME)),
 }
 
 

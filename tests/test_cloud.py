@@ -18,7 +18,7 @@ def _points(spark, n=400, seed=3, dim=3):
 
 def _brute(p, q, k, box=None):
     d = q[:, None, :] - p[None]
-    if box:
+    if box is not None:
         d -= box * np.round(d / box)
     r = np.sqrt((d**2).sum(axis=2))
     order = np.lexsort((np.broadcast_to(np.arange(len(p)), r.shape), r), axis=1)[:, :k]
@@ -41,6 +41,22 @@ def test_neighbours(spark, monkeypatch, dim, periodic, bucketed):
     assert (got.nid.to_numpy().reshape(400, 6) == ids).mean() > 0.999
 
 
+@pytest.mark.parametrize("periodic", [True, False])
+def test_neighbours_of_a_clustered_cloud(spark, monkeypatch, periodic):
+    """Dense clumps, lone points and many points in one place, in a box longer than wide."""
+    monkeypatch.setattr(knn, "BROADCAST_POINTS", 0)
+    monkeypatch.setattr(knn, "CROWDED", 4)
+    rng = np.random.default_rng(3)
+    parts = [rng.normal((1.0, 0.05), 1e-4, (200, 2)), rng.uniform((0, 0), (8, 0.1), (60, 2)), np.full((80, 2), (5.0, 0.05))]
+    p = np.clip(np.concatenate(parts), 0, (7.999, 0.0999))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]}))
+    box = (8.0, 0.1) if periodic else None
+    edges = knn.nearest(df, df.withColumnRenamed("id", "qid"), 5, 2, box).toPandas().sort_values(["qid", "rank"])
+    ids, dist = _brute(p, p, 5, np.array(box) if box else None)
+    assert np.allclose(edges.dist.to_numpy().reshape(len(p), 5), dist)
+    assert (edges.nid.to_numpy().reshape(len(p), 5) == ids).mean() > 0.999
+
+
 def test_neighbours_far_queries(spark, monkeypatch):
     monkeypatch.setattr(knn, "BROADCAST_POINTS", 0)
     df, pdf = _points(spark, dim=2)
