@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -40,23 +41,81 @@ OTHER_NAMES = (
     "reply discussion disqus tags pagination toolbar meta byline legal disclaimer"
 ).split()
 MAIN_NAMES = "content article post entry story main body text blog page".split()
-#: Ancestors counted at most; deeper ones repeat what these say.
-MAX_DEPTH = 60
-
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
+_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 _SENTENCE = re.compile(r"[.!?…]")
 
 
 class Block:
-    """One leaf block: its text pieces, the path above it, and how much of it is linked."""
+    """One leaf block: its text pieces, the features of what is above it, and how much of it is linked."""
+
+    __slots__ = ("above", "linked", "pieces", "size")
+
+    def __init__(self, above: tuple[str, ...]):
+        self.above, self.pieces, self.linked, self.size = above, [], 0, 0
 
-    __slots__ = ("linked", "pieces", "path", "size")
 
-    def __init__(self, path: tuple[str, ...]):
-        self.path, self.pieces, self.linked, self.size = path, [], 0, 0
+class Stack:
+    """The open elements, each with the features of all elements from the root down to it.
+
+    What an element adds is computed once, when it opens, from its parent's features, so
+    the whole path counts however deep it is, and a block costs nothing for its depth.
+    Features that are not ``known`` are left out, so a page of many names is no dearer.
+    """
+
+    def __init__(self, known: frozenset[str] | None = None):
+        self.known = known
+        self.tags: list[str] = []
+        self.names: list[frozenset[str]] = []
+        self.near: list[frozenset[str]] = []
+        self.open: Counter = Counter()
+
+    def push(self, labels: str) -> None:
+        tag, *names = labels.split(" ")
+        above = self.names[-1] if self.names else frozenset()
+        own = {"in " + tag, *("name " + w for w in names)}
+        if self.known is not None:
+            own &= self.known
+        self.names.append(above if own <= above else above | own)
+        if names or tag in LANDMARKS:
+            said = names or [tag]
+            near = {"near " + w for w in said}
+            near |= {"near other" for w in said if w in OTHER_NAMES}
+            near |= {"near main" for w in said if w in MAIN_NAMES}
+            self.near.append(frozenset(near))
+        else:
+            # the nearest element above that says what it is for
+            self.near.append(self.near[-1] if self.near else frozenset())
+        self.tags.append(tag)
+        self.open[tag] += 1
+
+    def pop(self, n: int) -> None:
+        """Close the innermost ``n`` elements."""
+        for tag in self.tags[len(self.tags) - n :]:
+            self.open[tag] -= 1
+        for part in (self.tags, self.names, self.near):
+            del part[len(part) - n :]
+
+    def close(self, tag: str, within: int | None = None) -> None:
+        """Close the innermost ``tag`` and what is open in it; without one, or with none among the
+        ``within`` innermost elements, nothing."""
+        if not self.open[tag]:
+            return
+        for k in range(1, len(self.tags) + 1 if within is None else min(within, len(self.tags)) + 1):
+            if self.tags[-k] == tag:
+                self.pop(k)
+                return
+
+    def features(self) -> tuple[str, ...]:
+        if not self.tags:
+            return ("tag",)
+        out = ["tag " + self.tags[-1], *self.names[-1], *self.near[-1]]
+        if len(self.tags) > 1:
+            out.append("above " + self.tags[-2])
+        return tuple(out)
 
 
 def _labels(tag: str, attributes: str) -> str:
@@ -67,12 +126,14 @@ def _labels(tag: str, attributes: str) -> str:
     return " ".join([tag, *words])
 
 
-def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, ancestors, linked share) of the page's non-empty blocks, in page order."""
+def leaf_blocks(source: str, known: frozenset[str] | None = None) -> list[tuple[str, tuple[str, ...], float]]:
+    """(text, features of the ancestors, linked share) of the page's non-empty blocks, in page order."""
     blocks: list[Block] = []
-    stack: list[str] = []
+    stack = Stack(known)
     block: Block | None = None
     at, linked, n = 0, False, len(source)
+    unclosed: dict[str, int] = {}
+    quotes_open = False
 
     def add(piece: str) -> None:
         nonlocal block
@@ -81,7 +142,7 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
         if block is None:
             if piece.isspace():
                 return
-            block = Block(tuple(stack[-MAX_DEPTH:]))
+            block = Block(stack.features())
             blocks.append(block)
         block.pieces.append(piece)
         size = len(piece)
@@ -95,7 +156,11 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
             add(source[at:])
             break
         add(source[at:low])
-        m = _TAG.match(source, low) or _LOOSE.match(source, low)
+        m = None if quotes_open else _TAG.match(source, low)
+        if m is None:
+            m = _LOOSE.match(source, low)
+            # a tag whose quotes close nowhere: from here on they are not looked at
+            quotes_open = quotes_open or m is not None
         if m is None:
             add("<")
             at = low + 1
@@ -109,17 +174,21 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
                 linked = linked and tag != "a"
                 continue
             block, linked = None, False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].split(" ", 1)[0] == tag:
-                    del stack[k:]
-                    break
+            stack.close(tag)
             continue
         if tag in INLINE:
             linked = linked or tag == "a"
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-            at = end.end() if end else n
+            empty = tag == "svg" and m.group(3).endswith("/")
+            if not empty:
+                end = unclosed.get(tag, 0) <= at and _END[tag].search(source, at)
+                if end:
+                    at = end.end()
+                elif tag in ("svg", "template"):
+                    unclosed[tag] = n + 1  # no end anywhere: its start alone is passed over
+                else:
+                    at = n
             if tag != "svg":
                 block = block if tag in ("script", "style") else None
             continue
@@ -130,14 +199,10 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
         if tag in VOID:
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 3), -1):
-                if stack[k].split(" ", 1)[0] == "p":
-                    del stack[k:]
-                    break
-        elif tag == "li" and stack and stack[-1].split(" ", 1)[0] == "li":
-            stack.pop()
-        if not m.group(3).endswith("/") or tag not in VOID:
-            stack.append(_labels(tag, m.group(3)))
+            stack.close("p", 2)
+        elif tag == "li":
+            stack.close("li", 1)
+        stack.push(_labels(tag, m.group(3)))
     out = []
     for b in blocks:
         text = "".join(b.pieces)
@@ -145,38 +210,19 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], float]]:
             text = html.unescape(text)
         text = " ".join(text.split())
         if text:
-            out.append((text, b.path, b.linked / b.size))
+            out.append((text, b.above, b.linked / b.size))
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    out = {"tag " + path[-1].split(" ", 1)[0] if path else "tag"}
-    nearest = True
-    for k, labels in enumerate(reversed(path)):
-        first, *rest = labels.split(" ")
-        out.add("in " + first)
-        out |= {"name " + w for w in rest}
-        if nearest and (rest or first in LANDMARKS):
-            # the nearest ancestor that says what it is for
-            out |= {"near " + w for w in rest or [first]}
-            out |= {"near other" for w in rest or [first] if w in OTHER_NAMES}
-            out |= {"near main" for w in rest or [first] if w in MAIN_NAMES}
-            nearest = False
-        if k == 1:
-            out.add("above " + first)
-    return tuple(sorted(out))
-
-
 def block_features(blocks: list[tuple[str, tuple[str, ...], float]]) -> list[list[str]]:
     """Ancestor and text features of each block."""
     rows = []
-    for text, path, linked in blocks:
+    for text, above, linked in blocks:
         size = len(text)
         row = ["bias", f"size {min(9, int(math.log2(size + 1)))}", f"linked {int(4 * linked)}"]
         row.append("sentence" if _SENTENCE.search(text) else "no sentence")
         row.append("ends" if text[-1] in ".!?…\"”»" else "open")
-        row += _path_features(path)
+        row += above
         rows.append(row)
     return rows
 
@@ -187,6 +233,7 @@ class Chain:
     def __init__(self):
         self.weights: dict[str, float] = {}
         self.moves = [[0.0, 0.0], [0.0, 0.0]]
+        self.known: frozenset[str] = frozenset()
 
     def scores(self, rows: list[list[str]]) -> list[float]:
         get = self.weights.get
@@ -238,8 +285,12 @@ class Chain:
                     self.moves[a][b] += 0.2 * rate * (hit - math.exp(min(0.0, pair[a, b])))
 
 
-def labelled_pages(seed: int, n: int):
-    """Generated pages with their blocks' labels: (html, [(text, 0 or 1)])."""
+def labelled_pages(seed: int, n: int, other_names=OTHER_NAMES, main_names=MAIN_NAMES):
+    """Generated pages with their blocks' labels: (html, [(text, 0 or 1)]).
+
+    Parts are named from the two lists, by words without meaning, or not at all; some
+    main texts stand in the body itself, and some pages are nothing else.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda x: x[int(rng.integers(len(x)))]
     letters = list("aeioulnrstdm")
@@ -247,6 +298,9 @@ def labelled_pages(seed: int, n: int):
     def words(low, high):
         return " ".join("".join(rng.choice(letters, int(rng.integers(1, 9)))) for _ in range(int(rng.integers(low, high))))
 
+    def name_of(names, ends):
+        return pick(names) + pick(ends) if rng.random() < 0.8 else words(1, 2)
+
     def part(labels, text, label, tag, attributes=""):
         labels.append((text, label))
         return f"<{tag}{attributes}>{text}</{tag}>"
@@ -257,7 +311,7 @@ def labelled_pages(seed: int, n: int):
         if inside:
             tag = pick(["aside", "form", "div", "section", "nav", "footer"])
         named = tag in ("div", "section", "ul") or rng.random() < 0.5
-        name = f' {pick(["class", "id"])}="{pick(OTHER_NAMES)}{pick(["", "-box", " wide", "-list"])}"' if named else ""
+        name = f' {pick(["class", "id"])}="{name_of(other_names, ["", "-box", " wide", "-list"])}"' if named else ""
         if kind < 2:
             rows = "".join("<li>" + part(labels, words(1, 4), 0, "a", ' href="/x"') + "</li>" for _ in range(int(rng.integers(2, 8))))
             inner = f"<ul>{rows}</ul>"
@@ -269,12 +323,16 @@ def labelled_pages(seed: int, n: int):
 
     for _ in range(n):
         labels: list[tuple[str, int]] = []
+        if rng.random() < 0.06:  # bare text
+            yield "".join(part(labels, words(2, 60) + ".", 1, "p") for _ in range(int(rng.integers(1, 4)))), labels
+            continue
         page = "<!DOCTYPE html><html><head><title>" + words(2, 9) + "</title></head><body>"
         labels.append((page.split("<title>")[1].split("</title>")[0], 0))
         page += "".join(other(labels) for _ in range(int(rng.integers(1, 4))))
-        tag = pick(["article", "article", "main", "div", "section"])
-        name = "" if tag in ("article", "main") and rng.random() < 0.6 else f' class="{pick(MAIN_NAMES)}{pick(["", "-body", " wide"])}"'
-        page += f"<{tag}{name}>"
+        tag = pick(["article", "article", "main", "div", "section", "body"])
+        named = tag != "body" and not (tag in ("article", "main") and rng.random() < 0.6)
+        name = f' class="{name_of(main_names, ["", "-body", " wide"])}"' if named else ""
+        page += f"<{tag}{name}>" if tag != "body" else ""
         if rng.random() < 0.8:
             page += part(labels, words(2, 10), 1, pick(["h1", "h1", "h2"]))
         for _ in range(int(rng.integers(1, 10))):
@@ -285,7 +343,7 @@ def labelled_pages(seed: int, n: int):
                 rows = "".join(part(labels, words(2, 20), 1, "li") for _ in range(int(rng.integers(2, 5))))
                 page += f"<ul>{rows}</ul>"
             page += part(labels, words(2, 8) if kind == "h2" else words(2, 80) + ".", 1, kind)
-        page += f"</{tag}>" + "".join(other(labels) for _ in range(int(rng.integers(1, 4)))) + "</body></html>"
+        page += (f"</{tag}>" if tag != "body" else "") + "".join(other(labels) for _ in range(int(rng.integers(1, 4)))) + "</body></html>"
         yield page, labels
 
 
@@ -303,12 +361,13 @@ def trained_chain(seed: int = 5, n: int = 500, rounds: int = 4) -> Chain:
     for turn in range(rounds):
         for k in order.permutation(len(data)):
             chain.learn(*data[k], 0.12 / (1 + turn))
+    chain.known = frozenset(chain.weights)
     return chain
 
 
 def main_text(source: str | None, chain: Chain) -> str:
     """The blocks that the field labels as main text, in page order, with one space between."""
-    blocks = leaf_blocks(source or "")
+    blocks = leaf_blocks(source or "", chain.known)
     if not blocks:
         return ""
     labels = chain.decode(block_features(blocks))

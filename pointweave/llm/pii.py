@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field.
 
 The patterns give the base spans. Around the remaining digits and at-signs the
-field scores whole candidate segments (their shape, digits, checksum, context)
-and a dynamic program over segments of bounded length picks borders and kinds
-together.
+field scores whole candidate segments (their shape, digits, checksum, context) and
+the moves between labels, and a dynamic program over segments of bounded length
+picks borders and kinds together.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pointweave.llm._frames import append_columns
 
 #: The kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of an entity at most.
-MAX_TOKENS = 24
+#: Tokens of an entity at most, and segments of a region whose scores are remembered.
+MAX_TOKENS, REMEMBERED = 32, 50_000
 
 # -- base spans ---------------------------------------------------------------
 
@@ -101,21 +101,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- the field ----------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
-_SEED = re.compile(r"[0-9@]|(?i:[(\[{]at[)\]}])")
+_SEED = re.compile(r"[0-9@]|(?i:[(\[{]at[)\]}]|\bat(?=\s+[\w-]+\s+dot\s))")
 
 
 def regions(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Token spans near digits or at-signs, free of ``taken``; a region is never cut."""
+    """Token spans near digits or at-signs, free of ``taken``; a region is never cut.
+
+    A region reaches MAX_TOKENS whole tokens to both sides of each seed, so any segment
+    that holds one lies in it. Tokens are runs, the same read from either end: the way
+    back goes over the reversed text.
+    """
     out: list[list[tuple[int, int]]] = []
-    busy = sorted(taken)
-    spans: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        low, high = max(0, m.start() - 24), min(len(text), m.end() + 24)
-        if spans and low <= spans[-1][1]:
-            spans[-1][1] = high
+    spans: list[tuple[int, int]] = []
+    seeds = [m.span() for m in _SEED.finditer(text)]
+    back, n, k, floor = text[::-1], len(text), 0, 0
+    while k < len(seeds):
+        low, at = seeds[k]
+        for _ in range(MAX_TOKENS):
+            if low <= floor:
+                break
+            low = n - _TOKEN.match(back, n - low).end()
+        low = max(low, floor)
+        left = MAX_TOKENS
+        while k < len(seeds) and (seeds[k][0] < at or left):
+            if seeds[k][0] < at:  # reached: the region goes on behind it
+                at, left, k = max(at, seeds[k][1]), MAX_TOKENS, k + 1
+                continue
+            if at >= n:
+                break
+            at, left = _TOKEN.match(text, at).end(), left - 1
+        while left and at < n:
+            at, left = _TOKEN.match(text, at).end(), left - 1
+        if spans and spans[-1][1] >= low:
+            spans[-1] = (spans[-1][0], at)
         else:
-            spans.append([low, high])
-    b = 0
+            spans.append((low, at))
+        floor = at
+    busy, b = sorted(taken), 0
     for low, high in spans:
         while b < len(busy) and busy[b][1] <= low:
             b += 1
@@ -131,6 +153,13 @@ def regions(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int
     return out
 
 
+#: An at-sign or its words, in a segment that could be an address.
+_SPELLED = re.compile(r"@|(?i:[(\[{]at[)\]}]|\sat\s)")
+
+
+_SPELLED_DOT = re.compile(r"\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+", re.I)
+
+
 def _shape(piece: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"\s+", " ", re.sub(r"[0-9]", "9", piece)))
 
@@ -150,6 +179,11 @@ def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
         out.append("at")
     if re.search(r"[(\[{ ]dot[)\]} ]|\.\w", piece):
         out.append("dot")
+    sign = _SPELLED.search(piece)
+    if sign:
+        # the words of either side: an address has one there, its dots spelled or not
+        host = _SPELLED_DOT.sub(".", piece[sign.end() :].strip(" )]}"))
+        out += [f"before {min(3, len(piece[: sign.start()].split()))}", f"behind {min(3, len(host.split()))}"]
     before, after = text[max(0, start - 1) : start], text[end : end + 1]
     out.append("tight" if (before + after) and re.search(r"[\w@/=#.\"-]", before + after.replace(".", "")) else "loose")
     if text[end : end + 2].lstrip(".,")[:1].isdigit() or text[max(0, start - 2) : start].strip(" ")[-1:].isdigit():
@@ -159,94 +193,164 @@ def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
     return [f"{kind}|{f}" for f in out]
 
 
+#: The labels of the field: outside, then the kinds.
+LABELS = ("", *KINDS)
+
+
 class SemiMarkov:
-    """Weights by feature, a weight for each token outside entities, and exact decoding."""
+    """Weights by feature, of the moves from label to label, and exact decoding.
+
+    A token outside entities is a segment of its own, whose score is 0; an entity is
+    one segment, whose score is the sum of its features' weights. From each segment
+    to the next a move between their labels is scored; outside to outside is 0.
+    """
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
-    def candidates(self, text: str, row: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, list[str]]]:
-        """(first token, token after, kind, features) of the segments that could be entities."""
+    def scorer(self):
+        """The score of a segment, remembered by all that its features depend on."""
+        known: dict[tuple, float] = {}
+
+        def of(text: str, start: int, end: int, kind: str) -> float:
+            key = (kind, text[start:end], text[max(0, start - 17) : start], text[end : end + 2])
+            value = known.get(key)
+            if value is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                value = known[key] = self.score(segment_features(text, start, end, kind))
+            return value
+
+        return of
+
+    def moves(self) -> list[list[float]]:
+        get = self.weights.get
+        return [[get(f"{a}>{b}", 0.0) if a or b else 0.0 for b in LABELS] for a in LABELS]
+
+    def candidates(self, text: str, row: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+        """(first token, token after, kind) of the segments that could be entities: of at most
+        MAX_TOKENS tokens, within a line, with the digits or the signs that their kind needs."""
         for i, (s, _) in enumerate(row):
             head = text[s]
-            if not (head.isalnum() or head in "+(") or text[s : s + 1].isspace():
+            if not (head.isalnum() or head in "+("):
                 continue
-            digits = 0
+            digits, letters, groups, dots, at, dot = 0, False, 0, 0, False, False
             for j in range(i, min(len(row), i + MAX_TOKENS)):
                 a, e = row[j]
-                if text[a].isdigit():
+                first = text[a]
+                if first.isdigit():
                     digits += e - a
-                elif not (text[a].isalpha()):
-                    if text[a] in "\n\"'=<>|;":
+                    groups += 1
+                elif first.isalpha():
+                    letters = True
+                    word = text[a:e].lower()
+                    at, dot = at or word == "at", dot or word == "dot"
+                else:
+                    if first in "\n\"'=<>|;":
                         break
+                    dots += first == "."
+                    at, dot = at or first == "@", dot or first == "."
                     continue
-                size = e - s
-                if size > 64:
-                    break
-                piece = text[s:e]
                 kinds = []
-                if text[a].isdigit() and not re.search(r"[^\W\d_]", piece):
-                    if 7 <= digits <= 15 and size <= 24:
+                if not letters:
+                    if 7 <= digits <= 15 and e - s <= 3 * digits:
                         kinds.append("phone")
                     if 13 <= digits <= 19:
                         kinds.append("card")
-                    if piece.count(".") == 3 or len(re.findall("[0-9]+", piece)) == 4:
+                    if dots == 3 or groups == 4:
                         kinds.append("ip")
-                elif head.isalnum() and re.search(r"@|[(\[{]at[)\]}]| at ", piece) and re.search(r"dot|\.", piece):
+                elif at and dot and head.isalnum() and _SPELLED.search(text, s, e):
                     kinds.append("email")
                 for kind in kinds:
-                    yield i, j + 1, kind, segment_features(text, s, e, kind)
+                    yield i, j + 1, kind
 
     def score(self, features: list[str]) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features) + get(features[0].split("|")[0], 0.0)
 
     def decode(self, text: str, row: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        """The best segmentation: each token is outside, or in one segment."""
-        scored = ((i, j, kind, self.score(f)) for i, j, kind, f in self.candidates(text, row))
-        found = [x for x in scored if x[3] > 0]  # no other can raise the sum
-        if not found:
-            return []
+        """The best segmentation; of equal ones that with fewer entities."""
         ending: dict[int, list] = {}
-        for x in found:
-            ending.setdefault(x[1], []).append(x)
-        best, back = [0.0] * (len(row) + 1), [None] * (len(row) + 1)
+        scored = self.scorer()
+        for i, j, kind in self.candidates(text, row):
+            score = scored(text, row[i][0], row[j - 1][1], kind)
+            ending.setdefault(j, []).append((i, LABELS.index(kind), score))
+        if not ending:
+            return []
+        moves, none = self.moves(), -math.inf
+        best = [[0.0] + [none] * len(KINDS)]
+        back: list[list] = [[None] * len(LABELS)]
+
+        def come(t: int, label: int) -> tuple[float, int]:
+            return max(((best[t][x] + moves[x][label], -x) for x in range(len(LABELS))))
+
         for t in range(1, len(row) + 1):
-            best[t] = best[t - 1]
-            for x in ending.get(t, ()):
-                if best[x[0]] + x[3] > best[t]:
-                    best[t], back[t] = best[x[0]] + x[3], x
-        out, t = [], len(row)
+            value, minus = come(t - 1, 0)
+            best.append([value] + [none] * len(KINDS))
+            back.append([(t - 1, -minus)] + [None] * len(KINDS))
+            for i, label, score in ending.get(t, ()):
+                value, minus = come(i, label)
+                if value + score > best[t][label]:
+                    best[t][label], back[t][label] = value + score, (i, -minus)
+        t, out = len(row), []
+        label = max(range(len(LABELS)), key=lambda x: (best[t][x], -x))
         while t > 0:
-            x = back[t]
-            if x is None:
-                t -= 1
-            else:
-                out.append((x[2], row[x[0]][0], row[x[1] - 1][1]))
-                t = x[0]
+            i, before = back[t][label]
+            if label:
+                out.append((LABELS[label], row[i][0], row[t - 1][1]))
+            t, label = i, before
         return out[::-1]
 
     def gradient(self, text: str, row, gold: set[tuple[int, int, str]]) -> dict[str, float]:
         """The slope of the gold segmentation's log-likelihood, by forward and backward sums."""
-        found = [(i, j, kind, f, self.score(f)) for i, j, kind, f in self.candidates(text, row)]
-        n = len(row)
-        forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        forward[0] = backward[n] = 0.0
+        found = []
+        for i, j, kind in self.candidates(text, row):
+            f = segment_features(text, row[i][0], row[j - 1][1], kind)
+            found.append((i, j, LABELS.index(kind), f, self.score(f)))
+        if not found:
+            return {}
+        n, moves = len(row), np.array(self.moves())
         by_end: dict[int, list] = {}
         by_start: dict[int, list] = {}
         for x in found:
             by_end.setdefault(x[1], []).append(x)
             by_start.setdefault(x[0], []).append(x)
+        total = np.logaddexp.reduce
+        # forward[t, a]: all ways to t whose last segment has label a; backward[t, a]: all ways from there on
+        forward, backward = np.full((n + 1, len(LABELS)), -np.inf), np.full((n + 1, len(LABELS)), -np.inf)
+        forward[0, 0], backward[n] = 0.0, 0.0
         for t in range(1, n + 1):
-            forward[t] = np.logaddexp.reduce([forward[t - 1], *(forward[x[0]] + x[4] for x in by_end.get(t, ()))])
+            forward[t, 0] = total(forward[t - 1] + moves[:, 0])
+            for i, _, k, _, score in by_end.get(t, ()):
+                forward[t, k] = np.logaddexp(forward[t, k], total(forward[i] + moves[:, k]) + score)
         for t in range(n - 1, -1, -1):
-            backward[t] = np.logaddexp.reduce([backward[t + 1], *(backward[x[1]] + x[4] for x in by_start.get(t, ()))])
+            ways = [moves[:, 0] + backward[t + 1, 0]]
+            ways += [moves[:, k] + score + backward[j, k] for _, j, k, _, score in by_start.get(t, ())]
+            backward[t] = total(np.array(ways), axis=0)
+        whole = total(forward[n])
         slope: dict[str, float] = {}
-        for i, j, kind, features, value in found:
-            delta = float((i, j, kind) in gold) - math.exp(forward[i] + value + backward[j] - forward[n])
-            if abs(delta) > 1e-4:
-                for f in [*features, kind]:
-                    slope[f] = slope.get(f, 0.0) + delta
+        spans = {(i, j): LABELS.index(kind) for i, j, kind in gold}
+        held = np.zeros((len(LABELS), len(LABELS)))
+        t, last = 0, 0
+        starts = {i: (j, k) for (i, j), k in spans.items()}
+        while t < n:  # the gold way
+            t, k = starts.get(t, (t + 1, 0))
+            held[last, k] += 1
+            last = k
+        for t in range(n):
+            ways = forward[t][:, None] + moves - whole
+            held[:, 0] -= np.exp(ways[:, 0] + backward[t + 1, 0])
+            for i, j, k, features, score in by_start.get(t, ()):
+                each = np.exp(ways[:, k] + score + backward[j, k])
+                held[:, k] -= each
+                delta = float(spans.get((i, j)) == k) - each.sum()
+                if abs(delta) > 1e-4:
+                    for f in [*features, LABELS[k]]:
+                        slope[f] = slope.get(f, 0.0) + delta
+        for a, first in enumerate(LABELS):
+            for b, second in enumerate(LABELS):
+                if (a or b) and abs(held[a, b]) > 1e-4:
+                    slope[f"{first}>{second}"] = held[a, b]
         return slope
 
 
@@ -261,14 +365,21 @@ def _sentences(seed: int, n: int):
         digits = pick("4", "5") + d(14)
         return digits + next(str(c) for c in range(10) if luhn(digits + str(c)))
 
+    def near_card():
+        """Sixteen digits whose checksum fails."""
+        digits = card()
+        return digits[:-1] + str((int(digits[-1]) + 1 + int(rng.integers(9))) % 10)
+
     def cut(x, sign):
         return sign.join(x[k : k + 4] for k in range(0, 16, 4))
 
     for _ in range(n):
         kind = pick("email", "ip", "card", "phone", *[None] * 5)
         if kind == "email":
-            at, dot = pick(("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."))
-            body = f"{word()}{pick('', '.' + d(2))}{at}{word()}{dot}{pick('com', 'org', 'net')}"
+            at, dot = pick(("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" at ", " dot "))
+            names = pick(word(), word(), f"{word()}.{word()}", f"{word()}.{word()}.{word()}", f"{word()}-{word()}")
+            host = pick("", "", word() + dot, f"{word()}-{word()}{dot}") + pick(word(), f"{word()}-{word()}")
+            body = f"{names}{pick('', '', '.' + d(2))}{at}{host}{dot}{pick('com', 'org', 'net', 'edu')}"
         elif kind == "ip":
             body = ".".join(str(x) for x in rng.integers(0, 256, 4))
         elif kind == "card":
@@ -279,6 +390,8 @@ def _sentences(seed: int, n: int):
         else:
             body = pick(
                 d(int(rng.integers(1, 20))),
+                near_card(),
+                near_card(),
                 f"20{d(2)}-{d(2)}-{d(2)}",
                 f"{d(1)}.{d(1)}.{d(2)}",
                 f'"{rng.bytes(20).hex()}"',
@@ -298,7 +411,7 @@ def _sentences(seed: int, n: int):
 
 
 @lru_cache(maxsize=1)
-def trained_field(seed: int = 11, n: int = 900, rounds: int = 3) -> SemiMarkov:
+def trained_field(seed: int = 11, n: int = 1600, rounds: int = 4) -> SemiMarkov:
     """The field trained on generated sentences, whose spans are known; the same each time."""
     field = SemiMarkov({k: -2.0 for k in KINDS})
     data = []

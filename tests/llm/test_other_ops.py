@@ -1,7 +1,9 @@
 """URL filters, nearest neighbours, PII, HTML, language and toxicity."""
 
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -9,9 +11,21 @@ from pyspark.sql import functions as F
 
 from pointweave.llm import url_filter
 from pointweave.llm.ann import nearest_neighbours, quantised
+from pointweave.llm.html_extract import Chain as HtmlChain
 from pointweave.llm.html_extract import block_features, extract_main_text, labelled_pages, leaf_blocks, main_text, trained_chain
 from pointweave.llm.langid import identify_languages, train_text_model
-from pointweave.llm.pii import base_spans, find_personal_data, find_spans, luhn, trained_field
+from pointweave.llm.pii import (
+    LABELS,
+    SemiMarkov,
+    _sentences,
+    base_spans,
+    find_personal_data,
+    find_spans,
+    luhn,
+    regions,
+    segment_features,
+    trained_field,
+)
 from pointweave.llm.queries import URL_RULES
 from pointweave.llm.toxicity import score_toxicity, train_chain
 from pointweave.llm.url_filter import filter_urls, rules_frame
@@ -138,6 +152,79 @@ def test_field_finds_all_of_a_long_list():
     assert find_spans(one * 200, trained_field())[1] == [("phone", 24 * k + 5, 24 * k + 19) for k in range(200)]
 
 
+def test_regions_hold_whole_tokens():
+    field = trained_field()
+    find = lambda t: [t[s:e] for _, s, e in find_spans(t, field)[1]]
+    for address in (
+        "jonathan.maximilian.featherstonehaugh [at] example.com",
+        "firstname.middlename.lastname (at) computing-science (dot) university (dot) edu",
+        "bob at example dot org",
+    ):
+        assert find(f"please write {address} now") == [address]
+    assert len(find(" ".join(["(555) 123-4567,"] * 60))) == 60
+    for long in ("1 " * 5000, "a" * 300_000 + " 5 " + "b" * 300_000, "@" * 20_000, "(" * 100_000 + "5"):
+        find_spans(long, field)
+
+
+def segmentations(field, text, row, at=0, last=0):
+    """Every segmentation of a row of tokens with its score, by plain recursion."""
+    if at == len(row):
+        yield 0.0, ()
+        return
+    moves = field.moves()
+    ways = [(at + 1, 0, 0.0)]
+    for i, j, kind in field.candidates(text, row):
+        if i == at:
+            score = field.score(segment_features(text, row[i][0], row[j - 1][1], kind))
+            ways.append((j, LABELS.index(kind), score))
+    for end, label, score in ways:
+        own = ((LABELS[label], row[at][0], row[end - 1][1]),) if label else ()
+        for rest, spans in segmentations(field, text, row, end, label):
+            yield moves[last][label] + score + rest, own + spans
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    rng = random.Random(8)
+    seen = 0
+    for k in range(60):
+        text = "".join(rng.choice(["12", "555", ".", "-", " ", "1234567", "(", ")", "x", "8 ", "@", "dot"]) for _ in range(9)) + "9"
+        for row in regions(text, []):
+            names = {f for i, j, kind in trained_field().candidates(text, row) for f in segment_features(text, row[i][0], row[j - 1][1], kind)}
+            weights = {f: rng.gauss(0, 1) for f in sorted(names)}
+            field = SemiMarkov(weights | {f"{a}>{b}": rng.gauss(0, 1) for a in LABELS for b in LABELS if a or b})
+            every = sorted(segmentations(field, text, row), key=lambda x: -x[0])
+            seen += len(every) > 1
+            if len(every) == 1 or every[0][0] - every[1][0] > 1e-9:
+                assert tuple(field.decode(text, row)) == every[0][1]
+    assert seen > 20
+
+
+def test_slope_is_that_of_the_likelihood():
+    """The gradient against differences of the log-likelihood over all segmentations."""
+    text, kinds = "call 555 123 4567 x", ("phone", 5, 17)
+    row = regions(text, [])[0]
+    gold = {(next(i for i, t in enumerate(row) if t[0] == 5), next(i + 1 for i, t in enumerate(row) if t[1] == 17), "phone")}
+    weights = {"phone": 0.3, ">phone": -0.2, "phone>": 0.4, "phone|n10": 0.1, "phone|g3": 0.2}
+
+    def likelihood(w):
+        every = list(segmentations(SemiMarkov(w), text, row))
+        own = next(score for score, spans in every if spans == (kinds,))
+        return own - np.logaddexp.reduce([score for score, _ in every])
+
+    slope = SemiMarkov(weights).gradient(text, row, gold)
+    for f in weights:
+        change = (likelihood(weights | {f: weights[f] + 1e-5}) - likelihood(weights | {f: weights[f] - 1e-5})) / 2e-5
+        assert abs(change - slope.get(f, 0.0)) < 1e-3
+
+
+def test_held_out_spans():
+    field, right, found, there = trained_field(), 0, 0, 0
+    for text, span in _sentences(77, 800):
+        got, want = set(find_spans(text, field)[1]), {span} if span else set()
+        right, found, there = right + len(got & want), found + len(got), there + len(want)
+    assert right / found > 0.88 and right / there > 0.88
+
+
 # -- HTML -------------------------------------------------------------------------------
 
 
@@ -158,6 +245,47 @@ def test_held_out_accuracy():
     assert right / total > 0.98
 
 
+def test_held_out_names():
+    """Parts whose names the training never saw."""
+    chain, right, total = trained_chain(), 0, 0
+    other = "gutter strip rail crumbs shelf panel teaser follow ticker".split()
+    for page, labels in labelled_pages(98, 150, other, "copy prose essay column chapter".split()):
+        found = chain.decode(block_features(leaf_blocks(page)))
+        right += sum(a == b for a, (_, b) in zip(found, labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.93
+
+
+def test_labels_are_the_best_of_all():
+    rng = random.Random(3)
+    for n in range(1, 9):
+        chain = HtmlChain()
+        chain.moves = [[rng.gauss(0, 1) for _ in "ab"] for _ in "ab"]
+        rows = [[f"f{rng.randint(0, 9)}" for _ in range(3)] for _ in range(n)]
+        chain.weights = {f"f{k}": rng.gauss(0, 1) for k in range(10)}
+
+        def score(labels, chain=chain, rows=rows):
+            own = sum(sum(chain.weights[f] for f in row) for row, label in zip(rows, labels, strict=True) if label)
+            return own + sum(chain.moves[a][b] for a, b in zip(labels, labels[1:], strict=False))
+
+        assert tuple(chain.decode(rows)) == max(itertools.product((0, 1), repeat=n), key=score)
+
+
+def test_any_depth_counts_and_time_is_linear():
+    chain = trained_chain()
+    deep = "<nav>" + "<div>" * 90 + "Home links here" + "</div>" * 90 + "</nav><article><p>Main text is here, really.</p></article>"
+    assert main_text(deep, chain) == "Main text is here, really."
+    bare = "<p>Just a paragraph of text with several words.</p>"
+    assert main_text(bare, chain) == bare[3:-4]
+    began = time.time()
+    for source in ("<div>" * 20000 + "x</b></q></section>" * 20000, '<a "' * 50000, "<svg/>" * 20000, "<svg>" * 20000 + "<p>text"):
+        main_text(source, chain)
+    assert time.time() - began < 20
+    assert main_text("<article><p>One two three four five.</p><svg viewBox='0'/><p>Six seven eight nine ten.</p></article>", chain) == (
+        "One two three four five. Six seven eight nine ten."
+    )
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class='ad'>Buy now.</div><article><h1>Head</h1>"
