@@ -14,12 +14,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm._frames import append_columns, name
-from pointweave.llm._text import steps
+from pointweave.llm._frames import append_columns, forget, materialize, name
+from pointweave.llm._text import borders, hashes, raw, steps
 
 #: Labelled rows a chain is trained on at most, by a hash of their ids, and the
 #: features chosen for each category. Together they bound what the driver holds.
@@ -32,9 +33,13 @@ LEAST_ROWS = 3
 PREFIXES = (3, 4, 5, 6)
 #: A feature also tells whether it occurs twice, and whether it does in so large a share of the words.
 DENSE = 1 / 200
-_WORD = re.compile(r"[^\W\d_]+")
-#: Words whose features a task remembers.
-_REMEMBERED = 400_000
+LEVELS = ("1", "2", "%")
+#: Words whose parts a task remembers (about 150 bytes each).
+REMEMBERED = 200_000
+#: Words are runs of ASCII letters and of characters beyond ASCII, in lower case.
+_WORD = re.compile(rb"[a-z\x80-\xff]+")
+_BREAKS = np.ones(256, bool)
+_BREAKS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def parts_of(word: str) -> tuple[str, ...]:
@@ -42,63 +47,91 @@ def parts_of(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "-" for n in PREFIXES if len(word) > n))
 
 
-def _words(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
-
-
 def levels(count: int, total: int) -> tuple[str, ...]:
     """What a part's count says: it occurs, occurs twice, and is dense."""
     if count < 2:
-        return ("1",)
-    return ("1", "2", "%") if count >= DENSE * total else ("1", "2")
+        return LEVELS[:1]
+    return LEVELS if count >= DENSE * total else LEVELS[:2]
 
 
 def features_of(text: str | None) -> set[str]:
     """All features of a whole text: parts of words, with their levels."""
-    found = _words(text)
+    lowered = pc.utf8_lower(pa.scalar(text or "")).as_py()
+    found = Counter(_WORD.findall(lowered.encode()))
     counts: Counter = Counter()
     for word, n in found.items():
-        for part in parts_of(word):
+        for part in parts_of(word.decode()):
             counts[part] += n
     total = sum(found.values())
     return {part + level for part, n in counts.items() for level in levels(n, total)}
 
 
+class Vocabulary:
+    """The chosen features of whole batches of texts, by array operations over their words."""
+
+    def __init__(self, index: dict[str, int]):
+        self.place = {part: k for k, part in enumerate(sorted({f[:-1] for f in index}))}
+        self.at = np.full((len(self.place), len(LEVELS)), -1, np.int64)
+        for feature, k in index.items():
+            self.at[self.place[feature[:-1]], LEVELS.index(feature[-1])] = k
+        self.memory: dict[int, tuple[int, ...]] = {}
+
+    def _known(self, key: int, word: bytes) -> tuple[int, ...]:
+        if len(self.memory) >= REMEMBERED:
+            self.memory.clear()
+        found = [self.place.get(part, -1) for part in parts_of(word.decode())]
+        out = self.memory[key] = tuple(k for k in found if k >= 0)
+        return out
+
+    def active(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature) of all active features, ascending."""
+        data, at = raw(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
+        starts, ends = borders(data, at, _BREAKS)
+        first = np.searchsorted(starts, at)
+        total = np.diff(first)
+        doc = np.repeat(np.arange(len(total)), total)
+        keys, where, inverse = np.unique(hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+        get = self.memory.get
+        own = []
+        for k, key in enumerate(keys.tolist()):
+            parts = get(key)
+            if parts is None:
+                w = where[k]
+                parts = self._known(key, data[starts[w] : ends[w]].tobytes())
+            own.append(parts)
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter((p for parts in own for p in parts), np.int64, int(size.sum()))
+        begin = np.cumsum(size) - size
+        token = np.flatnonzero(size[inverse])  # most words have no chosen part
+        word = inverse[token]
+        n = size[word]
+        spot = np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pair, count = np.unique(np.repeat(doc[token], n) * len(self.place) + flat[spot], return_counts=True)
+        row, part = np.divmod(pair, max(1, len(self.place)))
+        held = np.stack([count >= 1, count >= 2, (count >= 2) & (count >= DENSE * total[row])], 1)
+        feature = np.where(held, self.at[part], -1) if len(part) else np.zeros((0, len(LEVELS)), np.int64)
+        row = np.repeat(row, len(LEVELS))[feature.ravel() >= 0]
+        feature = feature.ravel()[feature.ravel() >= 0]
+        order = np.lexsort((feature, row))
+        return row[order], feature[order]
+
+
 @dataclass
 class Chain:
-    """Trained categories in order: one weight vector each, over features and earlier log-odds."""
+    """Trained categories in order: one weight vector each, over features, a bias and earlier log-odds."""
 
     categories: list[str]
     index: dict[str, int]
     weights: list[np.ndarray] = field(default_factory=list)
 
-    def __post_init__(self):
-        self.parts = {f[:-1] for f in self.index}
-
-    def active(self, text: str | None, memory: dict) -> np.ndarray:
-        """The chosen features of the whole text, ascending."""
-        found = _words(text)
-        known = self.parts
-        counts: dict[str, int] = {}
-        for word, n in found.items():
-            own = memory.get(word)
-            if own is None:
-                own = tuple(p for p in parts_of(word) if p in known)
-                if len(memory) < _REMEMBERED:
-                    memory[word] = own
-            for part in own:
-                counts[part] = counts.get(part, 0) + n
-        total = sum(found.values())
-        at = [self.index.get(part + level) for part, n in counts.items() for level in levels(n, total)]
-        return np.array(sorted(k for k in at if k is not None), np.int64)
-
-    def predict(self, active: np.ndarray) -> list[float]:
-        n = len(self.index)
-        odds: list[float] = []
+    def predict(self, row: np.ndarray, feature: np.ndarray, n: int) -> list[np.ndarray]:
+        """The probability of each category for ``n`` texts with these active features."""
+        k = len(self.index)
+        odds = np.zeros((n, 0))
         for w in self.weights:
-            z = float(w[active].sum() + w[n] + np.dot(w[n + 1 :], odds))
-            odds.append(max(-8.0, min(8.0, z)))
-        return [1.0 / (1.0 + math.exp(-z)) for z in odds]
+            z = np.bincount(row, w[:k][feature], n) + w[k] + odds @ w[k + 1 :]
+            odds = np.column_stack([odds, np.clip(z, -8.0, 8.0)])
+        return [1.0 / (1.0 + np.exp(-z)) for z in odds.T]
 
 
 def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -135,25 +168,44 @@ def _odds(rows: list[np.ndarray], extra: np.ndarray, w: np.ndarray, n: int) -> n
 
 
 def fit_chain(
-    categories: list[str], index: dict[str, int], rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray
+    categories: list[str],
+    index: dict[str, int],
+    rows: list[np.ndarray],
+    labels: np.ndarray,
+    folds: np.ndarray,
+    chosen: list[np.ndarray] | None = None,
 ) -> Chain:
-    """``labels`` has a column per category; later models see out-of-fold log-odds of earlier ones."""
+    """``labels`` has a column per category; later models see out-of-fold log-odds of earlier ones.
+
+    ``chosen`` lists for each fold which features were picked without its rows, and
+    last those that were picked from all; the models of a fold use only its own.
+    """
     n, chain = len(index), Chain(categories, index)
     extra = np.zeros((len(rows), 0))
+    masks = chosen if chosen is not None else [np.ones(n, bool)] * (FOLDS + 1)
+    seen = [[r[mask[r]] for r in rows] for mask in masks]
     for c in range(len(categories)):
         y = labels[:, c].astype(float)
-        chain.weights.append(_fit(rows, extra, y, n))
+        chain.weights.append(_masked(_fit(seen[FOLDS], extra, y, n), masks[FOLDS]))
+        if c == len(categories) - 1:
+            break  # nothing comes after it
         unseen = np.zeros(len(rows))
         for fold in range(FOLDS):
             out = np.flatnonzero(folds == fold)
             own = np.flatnonzero(folds != fold)
-            w = _fit([rows[i] for i in own], extra[own], y[own], n)
             if len(out):
-                unseen[out] = _odds([rows[i] for i in out], extra[out], w, n)
+                w = _masked(_fit([seen[fold][i] for i in own], extra[own], y[own], n), masks[fold])
+                unseen[out] = _odds([seen[fold][i] for i in out], extra[out], w, n)
         extra = np.column_stack([extra, unseen])
     return chain
 
 
+def _masked(w: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    out = w.copy()
+    out[: len(mask)][~mask] = 0.0
+    return out
+
+
 def train_chain(
     docs: DataFrame,
     labels: DataFrame,
@@ -166,81 +218,102 @@ def train_chain(
     """Fit a chain on at most ``max_rows`` labelled documents.
 
     ``labels`` has the id and a 0/1 column per category, in chain order; rows with
-    a null among them are unlabelled. Features are words and word beginnings; per
-    category the ``max_features`` most telling ones by rows are chosen, from counts
-    that executors reduce. Without labelled rows every probability is one half.
+    a null among them are unlabelled. An id counts once, with one of its labels and
+    texts (the least by hash), however many rows it has. Features are words and word
+    beginnings; per category the ``max_features`` most telling ones by rows are
+    chosen, from counts that executors reduce, once from all rows and once without
+    each fold. Without labelled rows every probability is one half.
     """
     spark = docs.sparkSession
+    n = len(categories)
     wanted = [F.col(name(c)).cast("int").alias(f"y{k}") for k, c in enumerate(categories)]
-    chosen = labels.select(F.col(name(id_col)).alias("id"), *wanted).dropna()
-    chosen = chosen.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    sample = spark.createDataFrame(chosen.collect(), chosen.schema)  # max_rows rows of a few integers
+    asked = labels.select(F.col(name(id_col)).alias("id"), *wanted).dropna()
+    ys = [f"y{k}" for k in range(n)]
+    asked = asked.groupBy("id").agg(F.min(F.struct(F.xxhash64(*ys), *ys)).alias("y")).select("id", "y.*")
+    asked = asked.orderBy(F.xxhash64("id"), "id").limit(max_rows).select("id", *ys)
+    sample = spark.createDataFrame(asked.collect(), asked.schema)  # max_rows rows of a few integers
     texts = docs.select(F.col(name(id_col)).alias("id"), F.col(name(text_col)).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)))
-    n = len(categories)
-    counted = T.StructType.fromDDL("feature string, rows bigint, " + ", ".join(f"p{k} bigint" for k in range(n)))
+    met = texts.join(F.broadcast(sample), "id").groupBy("id", *ys)
+    rows = met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    # at most max_rows texts: written once, read for the counts and for the features
+    rows = materialize(rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).cast("int")))
+    counted = T.StructType.fromDDL("feature string, fold int, rows bigint, " + ", ".join(f"p{k} bigint" for k in range(n)))
 
     def count(batches):
         total: Counter = Counter()
         good: list[Counter] = [Counter() for _ in range(n)]
         for batch in batches:
-            ys = [batch.column(f"y{k}").to_pylist() for k in range(n)]
+            truth = [batch.column(y).to_pylist() for y in ys]
+            folds = batch.column("fold").to_pylist()
             for j, text in enumerate(batch.column("text")):
-                found = features_of(text.as_py())
+                found = [(f, folds[j]) for f in features_of(text.as_py())]
                 total.update(found)
                 for k in range(n):
-                    if ys[k][j]:
+                    if truth[k][j]:
                         good[k].update(found)
         keys = list(total)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keys, pa.string()),
+                pa.array([f for f, _ in keys], pa.string()),
+                pa.array([fold for _, fold in keys], pa.int32()),
                 pa.array([total[x] for x in keys], pa.int64()),
                 *[pa.array([g[x] for x in keys], pa.int64()) for g in good],
             ],
             names=counted.names,
         )
 
+    columns = ["rows", *[f"p{k}" for k in range(n)]]
     sums = rows.mapInArrow(count, counted).groupBy("feature")
-    sums = sums.agg(F.sum("rows").alias("rows"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(n)])
-    sums = sums.filter(F.col("rows") >= LEAST_ROWS)
-    base = sample.agg(F.count(F.lit(1)), *[F.sum(f"y{k}") for k in range(n)]).first()
-    if not base[0]:
+    within = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(FOLDS) for c in columns]
+    sums = sums.agg(*[F.sum(c).alias(c) for c in columns], *within)
+    sums = materialize(sums.filter(F.col("rows") >= LEAST_ROWS))
+    truth = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(y).alias(f"p{k}") for k, y in enumerate(ys)]).collect()
+    if not truth:
         return Chain(categories, {}, [np.zeros(1 + k) for k in range(n)])
-    picked: dict[str, None] = {}
-    sums = sums.persist()
-    for k in range(n):
-        share = (base[k + 1] or 0) / base[0]
-        expected = F.col("rows") * share
-        # how far the count lies from what chance gives, in deviations
-        score = F.abs(F.col(f"p{k}") - expected) / F.sqrt(expected * (1 - share) + 0.5)
-        best = sums.orderBy(score.desc(), "feature").limit(max_features).select("feature")
-        picked |= dict.fromkeys(r[0] for r in best.collect())
-    sums.unpersist()
-    index = {f: i for i, f in enumerate(sorted(picked))}
-    empty = Chain(categories, index)
-    shared = spark.sparkContext.broadcast(empty)
-    found = T.StructType.fromDDL("id string, at array<int>, fold bigint, " + ", ".join(f"y{k} int" for k in range(n)))
+
+    def picked(fold: int | None) -> list[str]:
+        """The features of the rows outside of a fold, or of all."""
+        there = {c: sum(r[c] for r in truth if r["fold"] != fold) for c in columns}
+        if not there["rows"]:
+            return []
+        own = {c: F.col(c) - F.col(f"{c}_{fold}") if fold is not None else F.col(c) for c in columns}
+        out: dict[str, None] = {}
+        for k in range(n):
+            share = there[f"p{k}"] / there["rows"]
+            expected = own["rows"] * share
+            # how far the count lies from what chance gives, in deviations
+            score = F.abs(own[f"p{k}"] - expected) / F.sqrt(expected * (1 - share) + 0.5)
+            best = sums.filter(own["rows"] >= LEAST_ROWS).orderBy(score.desc(), "feature").limit(max_features)
+            out |= dict.fromkeys(r[0] for r in best.select("feature").collect())
+        return list(out)
+
+    by_fold = [picked(f) for f in range(FOLDS)] if n > 1 else [[]] * FOLDS
+    by_fold.append(picked(None))
+    index = {f: i for i, f in enumerate(sorted({f for own in by_fold for f in own}))}
+    masks = [np.zeros(len(index), bool) for _ in by_fold]
+    for mask, own in zip(masks, by_fold, strict=True):
+        mask[[index[f] for f in own]] = True
+    shared = spark.sparkContext.broadcast(index)
+    found = T.StructType.fromDDL("id string, at array<int>, fold int, " + ", ".join(f"{y} int" for y in ys))
 
     def active(batches):
-        memory: dict = {}
+        known = Vocabulary(shared.value)
         for batch in batches:
             for part in steps(batch, "text"):
-                at = [shared.value.active(t.as_py(), memory).astype(np.int32) for t in part.column("text")]
+                row, feature = known.active(part.column("text"))
+                at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").cast(pa.string()),
-                        pa.array(at, pa.list_(pa.int32())),
-                        part.column("fold").cast(pa.int64()),
-                        *[part.column(f"y{k}") for k in range(n)],
-                    ],
+                    [part.column("id").cast(pa.string()), lists, part.column("fold"), *[part.column(y) for y in ys]],
                     names=found.names,
                 )
 
     data = sorted(rows.mapInArrow(active, found).collect(), key=lambda r: (r.id or "", r.at))
+    forget(sums)
+    forget(rows)
     sparse = [np.asarray(r.at, np.int64) for r in data]
-    truth = np.array([[r[f"y{k}"] for k in range(n)] for r in data]).reshape(len(data), n)
-    return fit_chain(categories, index, sparse, truth, np.array([r.fold for r in data], int))
+    truth = np.array([[r[y] for y in ys] for r in data]).reshape(len(data), n)
+    return fit_chain(categories, index, sparse, truth, np.array([r.fold for r in data], int), masks)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -251,16 +324,15 @@ def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", thresh
     is broadcast; there is no shuffle, and repeated rows are judged alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    added = ", ".join(f"`p_{c}` double" for c in chain.categories) + ", toxic boolean"
+    added = ", ".join(f"{name('p_' + c)} double" for c in chain.categories) + ", toxic boolean"
 
     def make():
-        memory: dict = {}
         model = shared.value
+        known = Vocabulary(model.index)
 
         def work(part: pa.RecordBatch) -> list[pa.Array]:
-            found = [model.predict(model.active(t.as_py(), memory)) for t in part.column(text_col)]
-            by = list(zip(*found, strict=True)) or [[] for _ in model.categories]
-            return [*[pa.array(p, pa.float64()) for p in by], pa.array([p >= threshold for p in by[-1]], pa.bool_())]
+            by = model.predict(*known.active(part.column(text_col)), part.num_rows)
+            return [*[pa.array(p, pa.float64()) for p in by], pa.array(by[-1] >= threshold, pa.bool_())]
 
         return work
 
