@@ -134,6 +134,19 @@ class Chain:
         return [1.0 / (1.0 + np.exp(-z)) for z in odds.T]
 
 
+def _runs(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of an ascending array begins, and which it is."""
+    begin = np.flatnonzero(np.append(len(groups) > 0, groups[1:] != groups[:-1]))[: len(groups)]
+    return begin, groups[begin]
+
+
+def _summed(values: np.ndarray, begin: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    if len(begin):
+        out[group] = np.add.reduceat(values, begin)
+    return out
+
+
 def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """Logistic regression on sparse 0/1 features, dense extras and a bias, by Adam.
 
@@ -153,10 +166,13 @@ def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int) -> np
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     home = np.concatenate([np.full(n, START), [math.log(share / (1 - share))], np.zeros(extra.shape[1])])
     w, m, v = home.copy(), 0.0, 0.0
+    # the entries by row and, for the slope, by feature, so that both sums run over neighbours
+    by_row, by_feature = _runs(of), _runs(np.sort(at))
+    of_by_feature = of[np.argsort(at, kind="stable")]
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(of, (w[:n] * ratio)[at], len(rows)) + dense @ w[n:]
+        z = _summed((w[:n] * ratio)[at], *by_row, len(rows)) + dense @ w[n:]
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-        slope = np.concatenate([np.bincount(at, off[of], n) * ratio, dense.T @ off]) + RIDGE * (w - home)
+        slope = np.concatenate([_summed(off[of_by_feature], *by_feature, n) * ratio, dense.T @ off]) + RIDGE * (w - home)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return np.concatenate([w[:n] * ratio, w[n:]])
