@@ -1,8 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
-The posterior of a page's language combines the likelihood of its text, its
-declared markup language, the suffix of its address, and a prior of its host
-that is smoothed by the host's domain, its suffix and the whole table.
+The posterior of a page's language combines the likelihood of its text, that of its
+declared markup language, and a prior of its host that is smoothed by the host's
+domain, then by the suffix of its address, then by the whole table.
 """
 
 from __future__ import annotations
@@ -22,15 +22,21 @@ from pointweave.llm.url_filter import host_of
 
 #: Labelled documents the text model is trained on at most, by a hash of their ids.
 MAX_ROWS = 4000
-#: Byte trigrams are hashed to so many buckets.
-BUCKETS = 1 << 16
+#: Byte trigrams are hashed to so many buckets, and languages are so many at most: the
+#: model, which is broadcast, has 4 bytes for each pair of them (50 MB).
+BUCKETS, MAX_LANGUAGES = 1 << 16, 200
 #: How many page's worth of its parent each level's prior gets; rows added to each
-#: cell of the tables of declared languages and suffixes; the weight of one text
-#: in them at most (texts repeat themselves, so their trigrams are no independent draws).
+#: cell of the table of declared languages; the weight of one text at most (texts
+#: repeat themselves, so their trigrams are no independent draws).
 PRIOR_STRENGTH, CELL, TEXT_WEIGHT = 5.0, 1.0, 60.0
 
-_STRIP = re.compile(r"<!--.*?-->|<(script|style|head)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]{2,3})""", re.I)
+_HIDDEN = re.compile(r"<(script|style|head)\b", re.I)
+_HIDDEN_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "head")}
+_ROOT = re.compile(r"<html\b", re.I)
+_META = re.compile(r"<meta\b", re.I)
+_LANG = re.compile(r"""(?:^|[\s"'/])(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,3})(?![A-Za-z])""", re.I)
+_CONTENT_LANGUAGE = re.compile(r"""http-equiv\s*=\s*["']?\s*content-language\b""", re.I)
+_CONTENT = re.compile(r"""\bcontent\s*=\s*["']?\s*([A-Za-z]{2,3})(?![A-Za-z])""", re.I)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[: 0x41] = 0x20
@@ -38,6 +44,60 @@ _FOLD[0x5B:0x61] = 0x20
 _FOLD[0x7B:0x80] = 0x20
 
 
+def visible_text(source: str) -> str:
+    """The source without markup, comments, scripts, styles and head, a blank for each; what never
+    closes is passed over by its first character's tag alone. One pass."""
+    out, at, dead = [], 0, set()
+    while True:
+        low = source.find("<", at)
+        if low < 0:
+            break
+        out.append(source[at:low])
+        if source.startswith("<!--", low) and "!" not in dead:
+            end = source.find("-->", low + 4)
+            if end >= 0:
+                at = end + 3
+                continue
+            dead.add("!")
+        hidden = _HIDDEN.match(source, low)
+        tag = hidden.group(1).lower() if hidden else None
+        if tag and tag not in dead:
+            end = _HIDDEN_END[tag].search(source, hidden.end())
+            if end:
+                at = end.end()
+                continue
+            dead.add(tag)
+        end = source.find(">", low)
+        if end < 0:
+            at = low
+            break
+        at = end + 1
+    return " ".join([*out, source[at:]])
+
+
+def declared_language(source: str) -> str:
+    """The primary code that the first html element declares by lang or xml:lang, else the first meta
+    element for content-language; in lower case, empty without one."""
+    root = _ROOT.search(source)
+    if root:
+        end = source.find(">", root.end())
+        found = _LANG.search(source[root.end() : end if end >= 0 else len(source)])
+        if found:
+            return found.group(1).lower()
+    meta = _META.search(source)
+    while meta:
+        end = source.find(">", meta.end())
+        if end < 0:
+            break
+        part = source[meta.end() : end]
+        if _CONTENT_LANGUAGE.search(part):
+            found = _CONTENT.search(part)
+            if found:
+                return found.group(1).lower()
+        meta = _META.search(source, end)
+    return ""
+
+
 def _codes(data: np.ndarray) -> np.ndarray:
     """A bucket for each byte trigram; signs, digits and blanks are one symbol."""
     x = _FOLD[data].astype(np.uint32)
@@ -68,7 +128,7 @@ class TextModel:
             return [0.0] * len(self.languages)
         count = np.bincount(_codes(data), minlength=BUCKETS)
         used = np.flatnonzero(count)
-        sums = self.table[:, used] @ count[used]
+        sums = self.table[:, used].astype(np.float64) @ count[used]
         n = float(count.sum())
         sums = sums / n * min(n, TEXT_WEIGHT)
         return (sums - sums.max()).tolist()
@@ -79,14 +139,15 @@ def train_text_model(
 ) -> TextModel:
     """Trigram frequencies by language, from at most ``max_rows`` labelled documents.
 
-    Executors count; the driver gets one row of BUCKETS counts per language and task.
-    Rows without text or language are not used.
+    Executors count; the driver gets BUCKETS counts per language. Rows without text,
+    language or id are not used, and an id counts once, with its least text by hash.
+    More than MAX_LANGUAGES languages raise ValueError.
     """
     rows = docs.select(
         F.col(name(id_col)).alias("id"), F.col(name(text_col)).alias("text"), F.col(name(lang_col)).alias("lang")
-    ).dropna(subset=["text", "lang"])
+    ).dropna()
     spark = docs.sparkSession
-    keys = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(max_rows).dropDuplicates()
+    keys = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
     keys = spark.createDataFrame(keys.collect(), rows.select("id").schema)  # max_rows ids
     schema = T.StructType.fromDDL("lang string, bucket int, n double")
 
@@ -109,14 +170,18 @@ def train_text_model(
                 names=schema.names,
             )
 
-    found = rows.join(F.broadcast(keys), "id").select("text", "lang").mapInArrow(count, schema)
+    one = F.min(F.struct(F.xxhash64("text", "lang"), "lang", "text")).alias("one")
+    once = rows.join(F.broadcast(keys), "id").groupBy("id").agg(one).select("one.text", "one.lang")
+    found = once.mapInArrow(count, schema)
     sums = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are told apart")
     table = np.full((max(1, len(languages)), BUCKETS), 0.5)
     for k, lang in enumerate(languages):
         own = sums[sums["lang"] == lang]
         table[k, own["bucket"]] += own["n"]
-    table = np.log(table / table.sum(axis=1, keepdims=True))
+    table = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
     return TextModel(languages or ["und"], table)
 
 
@@ -145,9 +210,8 @@ def _evidence(pages: DataFrame, model: TextModel, id_col: str, url_col: str, htm
                 declared, scores = [], []
                 for x in part.column("html"):
                     source = x.as_py() or ""
-                    found = _DECLARED.search(source)
-                    declared.append(found.group(1).lower() if found else "")
-                    scores.append(shared.value.scores(_STRIP.sub(" ", source)))
+                    declared.append(declared_language(source))
+                    scores.append(shared.value.scores(visible_text(source)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
@@ -179,68 +243,46 @@ def identify_languages(
     if several are) and ``confidence`` (double).
 
     * Text alone gives each page a first posterior. Sums of these by grouped
-      aggregation give the tables P(declared | language) and P(suffix | language),
-      and the priors: global, then suffix, domain and host, each smoothed towards
-      the one above by PRIOR_STRENGTH pages.
-    * A null or empty page has no text evidence; without a host the global prior
-      holds; an unseen or missing declaration says what its table row says.
+      aggregation give the table P(declared | language) and the priors: global, then
+      suffix, domain and host, each smoothed towards the one above by
+      PRIOR_STRENGTH pages. A page's own first posterior is taken out of all four.
+    * The suffix counts once, as a level of the prior.
+    * A null or empty page has no text evidence; without a host its prior is that of
+      all pages without one; a missing declaration is a value like any other.
     * Repeated rows are judged each, and each counts; other columns are not read.
 
-    A host's prior includes the page itself. Hosts are joined by key, the heaviest
-    by a broadcast of bounded size; suffixes and declared languages beyond the
-    thousand most frequent are pooled, so their tables are bounded too.
+    Hosts and declared languages are joined by key, the heaviest by a broadcast of
+    bounded size; there is no limit on their number.
     """
     n = len(model.languages)
     seen = materialize(_evidence(pages, model, id_col, url_col, html_col).withColumn("first", _softmax(F.col("loglik"))))
-    sums = [F.sum(F.col("first")[k]).alias(f"s{k}") for k in range(n)]
-    total = seen.agg(*sums, F.count(F.lit(1)).alias("n")).first()
-    count = max(1.0, float(total["n"] or 0))
-    overall = [((total[k] or 0.0) + 1.0) / (count + n) for k in range(n)]
-
-    def table(column: str, kept: int = 1000) -> DataFrame:
-        """log P(value | language) for the most frequent values and, as null, all others."""
-        by = seen.groupBy(column).agg(*sums, F.count(F.lit(1)).alias("n"))
-        rows = by.orderBy(F.desc("n"), column).limit(kept).collect()
-        cells = len(rows) + 1
-        # all rows have a value, so the others' sums are what is left of the whole table's
-        pooled = [max(0.0, (total[k] or 0.0) - sum(r[f"s{k}"] for r in rows)) for k in range(n)]
-        if sum(r["n"] for r in rows) == total["n"]:
-            pooled = [0.0] * n
-        of = [sum(r[f"s{k}"] for r in rows) + pooled[k] for k in range(n)]
-        out = [(r[column], [float(np.log((r[f"s{k}"] + CELL) / (of[k] + CELL * cells))) for k in range(n)]) for r in rows]
-        out.append((None, [float(np.log((pooled[k] + CELL) / (of[k] + CELL * cells))) for k in range(n)]))
-        return seen.sparkSession.createDataFrame(out, f"{column} string, log_{column} array<double>")
-
-    def prior(level: str, above: str | None) -> DataFrame:
-        """Each value of ``level`` with its smoothed prior; ``above`` names the coarser level."""
-        keys = [c for c in ("suffix", "domain", "host") if c in _ABOVE[level]]
-        by = seen.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"))
-        parent = [F.lit(p) for p in overall]
-        if above:
-            coarse = prior(above, _PARENT[above]).drop("n").withColumnRenamed("prior", "up")
-            by = by.join(coarse, [c for c in keys if c in _ABOVE[above]])
-            parent = [F.col("up")[k] for k in range(n)]
-        smooth = [(F.col(f"s{k}") + PRIOR_STRENGTH * parent[k]) / (F.col("n") + PRIOR_STRENGTH) for k in range(n)]
-        return by.select(*keys, "n", F.array(*smooth).alias("prior"))
-
-    hosts = materialize(prior("host", "domain"))
-    joined = join_counted(seen, hosts.select("suffix", "domain", "host", "n", "prior"), ["suffix", "domain", "host"], "n")
-    for column in ("declared", "suffix"):
-        rows = table(column)
-        rest = [float(x) for x in rows.filter(F.col(column).isNull()).first()[1]]
-        rows = rows.filter(F.col(column).isNotNull())
-        joined = joined.join(F.broadcast(rows), column, "left").withColumn(
-            f"log_{column}", F.coalesce(f"log_{column}", F.array(*[F.lit(x) for x in rest]))
-        )
-    fused = _softmax(
-        F.array(
-            *[
-                F.col("loglik")[k] + F.log(F.col("prior")[k]) + F.col("log_declared")[k] + F.col("log_suffix")[k]
-                for k in range(n)
-            ]
-        )
-    )
-    judged = joined.select("id", "host", "declared", fused.alias("posterior"))
+    sums = F.array(*[F.sum(F.col("first")[k]) for k in range(n)])
+    rows = F.count(F.lit(1))
+    total = seen.agg(*[F.sum(F.col("first")[k]).alias(f"s{k}") for k in range(n)], rows.alias("n")).first()
+    count, overall = float(total["n"] or 0), [float(total[k] or 0.0) for k in range(n)]
+
+    declared = seen.groupBy("declared").agg(rows.alias("n"), sums.alias("s_declared"))
+    cells = max(1, declared.count())
+    logs = [F.log((F.col("s_declared")[k] + CELL) / (overall[k] + CELL * cells)) for k in range(n)]
+    declared = materialize(declared.select("declared", "n", F.array(*logs).alias("log_declared")))
+
+    by: DataFrame | None = None
+    for k, level in enumerate(LEVELS):
+        keys = list(LEVELS[: k + 1])
+        own = seen.groupBy(*keys).agg(rows.alias(f"n_{level}"), sums.alias(f"s_{level}"))
+        by = own if by is None else own.join(by, keys[:-1])
+    hosts = materialize(by)
+
+    joined = join_counted(seen, hosts, list(LEVELS), f"n_{LEVELS[-1]}")
+    joined = join_counted(joined, declared, ["declared"], "n")
+    own = F.col("first")
+    prior = [(F.lit(overall[k]) - own[k] + 1.0) / (count - 1.0 + n) for k in range(n)]
+    for level in LEVELS:
+        others = F.col(f"n_{level}") - 1 + PRIOR_STRENGTH
+        prior = [(F.col(f"s_{level}")[k] - own[k] + PRIOR_STRENGTH * prior[k]) / others for k in range(n)]
+    # differences of sums may fall below zero by rounding
+    logs = [F.col("loglik")[k] + F.log(F.greatest(prior[k], F.lit(1e-12))) + F.col("log_declared")[k] for k in range(n)]
+    judged = joined.select("id", "host", "declared", _softmax(F.array(*logs)).alias("posterior"))
     best = F.array_max("posterior")
     names = F.array(*[F.lit(x) for x in model.languages])
     return judged.select(
@@ -252,6 +294,5 @@ def identify_languages(
     )
 
 
-#: The levels of the host prior: what identifies a value, and the level above.
-_ABOVE = {"suffix": ("suffix",), "domain": ("suffix", "domain"), "host": ("suffix", "domain", "host")}
-_PARENT = {"suffix": None, "domain": "suffix", "host": "domain"}
+#: The levels of the host prior from the coarsest on; each value belongs to one of the level before.
+LEVELS = ("suffix", "domain", "host")

@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,14 @@ from pointweave.llm import url_filter
 from pointweave.llm.ann import nearest_neighbours, quantised
 from pointweave.llm.html_extract import Chain as HtmlChain
 from pointweave.llm.html_extract import block_features, extract_main_text, labelled_pages, leaf_blocks, main_text, trained_chain
-from pointweave.llm.langid import identify_languages, train_text_model
+from pointweave.llm.langid import (
+    CELL,
+    PRIOR_STRENGTH,
+    declared_language,
+    identify_languages,
+    train_text_model,
+    visible_text,
+)
 from pointweave.llm.pii import (
     LABELS,
     SemiMarkov,
@@ -27,7 +35,7 @@ from pointweave.llm.pii import (
     trained_field,
 )
 from pointweave.llm.queries import URL_RULES
-from pointweave.llm.toxicity import score_toxicity, train_chain
+from pointweave.llm.toxicity import FOLDS, Chain, Vocabulary, _fit, _odds, features_of, fit_chain, score_toxicity, train_chain
 from pointweave.llm.url_filter import filter_urls, rules_frame
 
 # -- URL filters ------------------------------------------------------------------
@@ -326,15 +334,54 @@ def test_languages(spark):
     assert identify_languages(df.limit(0), model).count() == 0
 
 
-def test_rare_suffixes_are_pooled(spark):
-    """Pages with a suffix beyond the thousand kept say no more of a language than their counts do."""
+def plain_languages(pages, model):
+    """The posterior of each page, page by page and level by level."""
+    soft = lambda x: np.exp(np.array(x) - max(x)) / np.exp(np.array(x) - max(x)).sum()
+    n, rows = len(model.languages), []
+    for _, url, html in pages:
+        host = plain_verdict(url, [])[0]
+        levels = (host.split(".")[-1], ".".join(host.split(".")[-2:]), host)
+        score = model.scores(visible_text(html or ""))
+        rows.append((levels, declared_language(html or ""), np.array(score), soft(score)))
+    out = []
+    for k, (levels, declared, score, _) in enumerate(rows):
+        rest = [r for j, r in enumerate(rows) if j != k]
+        prior = (sum((r[3] for r in rest), np.zeros(n)) + 1) / (len(rest) + n)
+        for level in range(3):
+            own = [r[3] for r in rest if r[0][: level + 1] == levels[: level + 1]]
+            prior = (sum(own, np.zeros(n)) + PRIOR_STRENGTH * prior) / (len(own) + PRIOR_STRENGTH)
+        same = sum((r[3] for r in rows if r[1] == declared), np.zeros(n))
+        said = (same + CELL) / (sum(r[3] for r in rows) + CELL * len({r[1] for r in rows}))
+        post = soft(score + np.log(prior) + np.log(said))
+        out.append((model.languages[int(post.argmax())], float(post.max())))
+    return out
+
+
+def test_languages_by_brute_force(spark):
+    rng = random.Random(16)
     docs = spark.createDataFrame([(k, LANGS[x], x) for k in range(20) for x in LANGS], "doc_id long, text string, lang string")
-    model = train_text_model(docs)
-    pages = [(k, f"http://w.s{k % 1000}", f"<html>{LANGS['bb' if k % 20 == 0 else 'aa'] * 4}</html>") for k in range(2000)]
-    pages += [(5000 + k, f"http://w.z{k}", f"<html>{LANGS['aa'] * 4}</html>") for k in range(300)] + [(9000, "http://w.zz", "")]
+    model = train_text_model(docs.union(docs))
+    pages = []
+    for k in range(80):
+        words = " ".join(rng.choice(LANGS[rng.choice(list(LANGS))].split()) for _ in range(rng.randint(0, 6)))
+        tag = rng.choice(["<html lang='aa'>", "<html xml:lang=bb-XX>", "<meta http-equiv=Content-Language content='cc'>", "", "<html>"])
+        pages.append((k, rng.choice([f"http://w{k % 5}.d{k % 3}.s{k % 4}/{k}", "http://S1:8080/", "nothing", None]), tag + "<p>" + words))
+    pages += [(90, None, None), pages[0], pages[0]]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    row = identify_languages(df, model).filter("page_id = 9000").first()
-    assert row.lang == "aa" and row.confidence > 0.9
+    want = sorted((p[0], lang, round(c, 9)) for p, (lang, c) in zip(pages, plain_languages(pages, model), strict=True))
+    assert sorted((r.page_id, r.lang, round(r.confidence, 9)) for r in identify_languages(df, model).collect()) == want
+
+
+def test_markup_of_any_kind_takes_linear_time():
+    assert visible_text("a<b>c</b><!-- x --><script>var i='<p>'</script>d<style>e</style> < 3").split() == ["a", "c", "d", "<", "3"]
+    assert visible_text("<script>x").split() == ["x"] and visible_text("<!-- <p>y").split() == ["y"]
+    assert declared_language('<HTML class="x" lang = "EN-us">') == "en" == declared_language("<html xml:lang='en'>")
+    assert declared_language('<html data-lang="xx"><meta charset=u><meta content="fr, en" http-equiv="content-language">') == "fr"
+    assert declared_language("<html>") == declared_language("") == ""
+    began = time.time()
+    for source in ("<script " * 100_000, "<!--" * 100_000, "<" * 300_000, "<html " * 100_000, "<meta " * 100_000, "<meta >" * 50_000, "<head><script>" * 50_000):
+        visible_text(source), declared_language(source)
+    assert time.time() - began < 10
 
 
 def test_toxicity_chain(spark):
@@ -360,3 +407,54 @@ def test_toxicity_chain(spark):
     none = train_chain(docs, table.limit(0), ["toxic"])
     assert score_toxicity(docs, none).agg(F.max("p_toxic")).first()[0] == 0.5
     assert score_toxicity(docs.limit(0), chain).count() == 0
+
+
+def test_toxicity_of_repeated_rows(spark):
+    """Repeated ids count once, whatever their number, and names clash with nothing."""
+    rows = [(k, "grubling stone" if k % 2 else "river stone", "x") for k in range(40)] + [(1, "grubling stone", "x")] * 300
+    docs = spark.createDataFrame([*rows, (None, None, "x")], "doc_id long, text string, id string")
+    table = spark.createDataFrame([(k, k % 2) for k in range(40)] * 3 + [(None, 1), (1, None)], "doc_id long, toxic int")
+    chain = train_chain(docs, table, ["toxic"])
+    once = train_chain(docs.distinct(), table.distinct(), ["toxic"])
+    assert chain.index == once.index and all(np.allclose(a, b) for a, b in zip(chain.weights, once.weights, strict=True))
+    out = score_toxicity(docs, chain)
+    assert out.columns == ["doc_id", "text", "id", "p_toxic", "toxic"] and out.count() == 341
+
+
+def test_features_of_batches_are_those_of_texts():
+    rng = random.Random(9)
+    words = ["Éclair", "éclairs", "stone", "Stones", "a", "ab", "abc", "grubling", "GRUB", "don't", "x1y", "中文"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 500))) for _ in range(60)] + [None, "", "a " * 3000]
+    every = [features_of(t) for t in texts]
+    index = {f: k for k, f in enumerate(sorted(set().union(*every))) if k % 3}
+    row, feature = Vocabulary(index).active(pa.array(texts))
+    for k, found in enumerate(every):
+        assert feature[row == k].tolist() == sorted(index[f] for f in found if f in index)
+    empty = Vocabulary({}).active(pa.array(texts))
+    assert len(empty[0]) == len(empty[1]) == 0
+
+
+def test_chain_is_trained_on_out_of_fold_odds():
+    """Each model by hand: the second one's extra feature comes from models that did not see the row."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(60)]
+    labels = np.array([[0 in r, (0 in r) ^ (1 in r)] for r in rows]).astype(int)
+    folds = rng.integers(0, FOLDS, 60)
+    masks = [np.arange(12) != f for f in range(FOLDS)] + [np.ones(12, bool)]
+    chain = fit_chain(["a", "b"], {f"f{k}1": k for k in range(12)}, rows, labels, folds, masks)
+    unseen = np.zeros(60)
+    for f in range(FOLDS):
+        cut = [r[r != f] for r in rows]
+        own, out = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+        w = _fit([cut[i] for i in own], np.zeros((len(own), 0)), labels[own, 0].astype(float), 12)
+        unseen[out] = _odds([cut[i] for i in out], np.zeros((len(out), 0)), w, 12)
+    assert np.allclose(chain.weights[0], _fit(rows, np.zeros((60, 0)), labels[:, 0].astype(float), 12))
+    assert np.allclose(chain.weights[1], _fit(rows, unseen[:, None], labels[:, 1].astype(float), 12))
+    # and predictions by plain sums
+    texts = [" ".join(["x"] * 0 + [f"w{chr(97 + k)}" for k in r]) for r in rows]
+    chain = Chain(["a", "b"], {f"w{chr(97 + k)}1": k for k in range(12)}, chain.weights)
+    by = chain.predict(*Vocabulary(chain.index).active(pa.array(texts)), 60)
+    for i, r in enumerate(rows):
+        z = min(8.0, max(-8.0, chain.weights[0][r].sum() + chain.weights[0][12]))
+        y = min(8.0, max(-8.0, chain.weights[1][r].sum() + chain.weights[1][12] + chain.weights[1][13] * z))
+        assert np.isclose(by[0][i], 1 / (1 + np.exp(-z))) and np.isclose(by[1][i], 1 / (1 + np.exp(-y)))
