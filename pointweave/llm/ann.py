@@ -1,9 +1,9 @@
 """Nearest neighbours by a block matrix join with int8 tiles.
 
-Vectors are quantised to int8; the product of a block of queries and a block of
+Vectors are quantised to int8 once; the product of a block of queries and a tile of
 candidates gives every inner product with a bound of its error. Pairs that could
-still be among the nearest are recomputed in double precision, and heaps merge
-the results of all blocks.
+still be among the nearest are recomputed in double precision, and heaps merge the
+results of all strips of candidates.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ from pyspark.sql import types as T
 
 from pointweave.llm._frames import name
 
-#: Rows of a block on average, of queries and of candidates, and rows of the tiles
-#: within: a task holds two blocks (9 MB each at 64 dimensions) and one tile.
-BLOCK_ROWS = 16384
+#: Rows on average of a block of queries, which a task holds (40 MB at 64 dimensions), and the least of
+#: a strip of candidates, which it streams; rows of the tiles within.
+BLOCK_ROWS, STRIP_ROWS = 65536, 16384
 TILE_QUERIES, TILE_ROWS = 512, 4096
+#: Tasks for each core that queries and strips are cut into.
+TASKS_PER_CORE = 4
+#: Survivors whose products are recomputed at once.
+EXACT_ROWS = 65536
 
 
 def _usable(vector: Column) -> Column:
@@ -31,21 +35,21 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _vectors(table: pa.Table, column: str) -> np.ndarray:
-    found = table.column(column).combine_chunks()
+def _vectors(table: pa.RecordBatch, column: str) -> np.ndarray:
+    found = table.column(column)
     flat = found.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat.reshape(len(found), -1)) if len(found) else np.zeros((0, 0))
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (as float32), the scale of each row, and the norm of its rounding error."""
-    top = np.abs(x).max(axis=1)
+    """int8 codes, the scale of each row, and the norm of its rounding error."""
+    top = np.abs(x).max(axis=1, initial=0.0)
     scale = top / 127.0
     scale[scale == 0] = 1.0  # a row of denormal numbers: all error, no code
-    codes = np.clip(np.rint(x / scale[:, None]), -127, 127)
+    codes = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
     # a slack for the rounding of these lines themselves
     error = np.linalg.norm(x - codes * scale[:, None], axis=1) + 1e-12 * np.linalg.norm(x, axis=1)
-    return codes.astype(np.float32), scale, error
+    return codes, scale, error
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -53,64 +57,78 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.cumsum(q * c, axis=1)[:, -1]
 
 
-def nearest_in_block(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
-) -> tuple[list, list, list]:
-    """Each query's ``k`` nearest rows of one block; ties go to the smaller id."""
-    qc, qs, qe = quantised(queries)
-    cc, cs, ce = quantised(rows)
-    qn, cn = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
-    # rows of one id count once, so as many more may stand before the k-th other one
-    spare = len(ids) - len(np.unique(ids))
-    out_q, out_i, out_s = [], [], []
-    for low in range(0, len(queries), TILE_QUERIES):
-        part = slice(low, low + TILE_QUERIES)
-        best = np.full((len(queries[part]), 0), -np.inf)
-        upper_tiles = []
-        for at in range(0, len(rows), TILE_ROWS):
+def tile_product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products of all rows of two tiles of int8 codes, as exact whole numbers.
+
+    The tiles are widened one at a time; whole numbers below 2**24, as the sums of up to
+    1040 products are, are exact in single precision.
+    """
+    wide = np.float32 if q.shape[1] <= 1040 else np.float64
+    return (q.astype(wide) @ c.astype(wide).T).astype(np.float64)
+
+
+class Search:
+    """A block of queries with the ``k`` nearest of the candidates seen so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.codes, self.scale, self.error = quantised(vectors)
+        self.norm = np.linalg.norm(vectors, axis=1)
+        self.score = np.full((len(ids), k), -np.inf)
+        self.found = np.zeros((len(ids), k), np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray) -> None:
+        """Look at more candidates. The k-th score so far, or a k-th lower bound of a tile, tells which of
+        them can still be among the nearest."""
+        norm = np.linalg.norm(vectors, axis=1)
+        for at in range(0, len(ids), TILE_ROWS):
             tile = slice(at, at + TILE_ROWS)
-            # integers below 2**24 for up to 1040 dimensions are exact in float32
-            product = _tile_product(qc[part], cc[tile])
-            product *= qs[part, None] * cs[None, tile]
-            bound = qe[part, None] * cn[None, tile] + (qn[part, None] + qe[part, None]) * ce[None, tile]
-            product[query_ids[part, None] == ids[None, tile]] = -np.inf
-            best = np.concatenate([best, product - bound], axis=1)
-            most = k + spare
-            if best.shape[1] > most:
-                best = -np.partition(-best, most - 1, axis=1)[:, :most]
-            upper_tiles.append((at, product + bound))
-        least = best.min(axis=1) if best.shape[1] >= k + spare else np.full(len(best), -np.inf)
-        q_at, c_at = [], []
-        for at, upper in upper_tiles:
-            a, b = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
-            q_at.append(a + low)
-            c_at.append(b + at)
-        a, b = np.concatenate(q_at), np.concatenate(c_at)
-        score = np.concatenate(
-            [_exact(queries[a[s : s + 65536]], rows[b[s : s + 65536]]) for s in range(0, len(a), 65536)] or [np.zeros(0)]
-        )
-        order = np.lexsort((ids[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        edges = np.searchsorted(a, np.arange(low, low + len(best) + 1))
-        for j in range(len(best)):
-            seen: set = set()
-            for t in range(edges[j], edges[j + 1]):
-                i = int(ids[b[t]])
-                if i in seen:
-                    continue
-                if len(seen) == k:
-                    break
-                seen.add(i)
-                out_q.append(int(query_ids[low + j]))
-                out_i.append(i)
-                out_s.append(float(score[t]))
-    return out_q, out_i, out_s
+            # rows of one id count once, so as many more may stand before the k-th other one
+            most = self.k + len(ids[tile]) - len(np.unique(ids[tile]))
+            for low in range(0, len(self.ids), TILE_QUERIES):
+                part = slice(low, low + TILE_QUERIES)
+                product = tile_product(self.codes[part], codes[tile])
+                product *= self.scale[part, None] * scale[None, tile]
+                bound = self.error[part, None] * norm[None, tile]
+                bound += (self.norm[part] + self.error[part])[:, None] * error[None, tile]
+                product[self.ids[part, None] == ids[None, tile]] = -np.inf
+                least = self.score[part, -1]
+                if product.shape[1] > most:
+                    lower = product - bound
+                    kth = np.partition(lower, lower.shape[1] - most, axis=1)[:, lower.shape[1] - most]
+                    least = np.maximum(least, kth)
+                product += bound
+                a, b = np.nonzero((product >= least[:, None]) & (product > -np.inf))
+                a, b = a + low, b + at
+                exact = [
+                    _exact(self.vectors[a[s : s + EXACT_ROWS]], vectors[b[s : s + EXACT_ROWS]])
+                    for s in range(0, len(a), EXACT_ROWS)
+                ]
+                if exact:
+                    self._keep(a, ids[b], np.concatenate(exact))
 
+    def _keep(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Merge new results of some queries with what these have; ties go to the smaller id."""
+        touched = np.unique(query)
+        old_q, old_rank = np.nonzero(self.score[touched] > -np.inf)
+        query = np.concatenate([touched[old_q], query])
+        ids = np.concatenate([self.found[touched[old_q], old_rank], ids])
+        score = np.concatenate([self.score[touched[old_q], old_rank], score])
+        order = np.lexsort((-score, ids, query))  # the best row of each id
+        query, ids, score = query[order], ids[order], score[order]
+        first = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))
+        query, ids, score = query[first], ids[first], score[first]
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        best = rank < self.k
+        self.score[query[best], rank[best]] = score[best]
+        self.found[query[best], rank[best]] = ids[best]
 
-def _tile_product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    if q.shape[1] <= 1040:
-        return (q @ c.T).astype(np.float64)
-    return q.astype(np.float64) @ c.T.astype(np.float64)
+    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, score) of all found."""
+        q, rank = np.nonzero(self.score > -np.inf)
+        return self.ids[q], self.found[q, rank], self.score[q, rank]
 
 
 def nearest_neighbours(
@@ -133,70 +151,119 @@ def nearest_neighbours(
     * Rows of one id are one item, whose best score counts; it is not its own
       neighbour. With fewer than ``k`` candidates all are returned.
 
-    Blocks are random (by a hash of the id), so of one size whatever the data; a
-    task gets one block of queries and one of candidates. Of each pair of blocks
-    ``k`` rows a query are shuffled to the merge.
+    Queries are cut into random blocks (by a hash of the id), candidates into strips, as few
+    as keep all cores busy. A task holds a block of queries and streams a strip past it,
+    with a running k-th score. Candidates are copied once for each block of queries, and
+    ``k`` rows of each query and strip are shuffled to the merge, which holds one heap.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = vectors.select(F.col(name(id_col)).cast("long").alias("id"), F.col(name(vector_col)).alias("v"))
+    rows = vectors.select(F.col(name(id_col)).cast("long").alias("id"), F.col(name(vector_col)).alias("v"), (
+        (F.col(name(id_col)) % 20 == 0) if query is None else query
+    ).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("dim", F.size("v"))
-    is_query = (F.col("id") % 20 == 0) if query is None else query
-    chosen = vectors.filter((F.col(name(id_col)) % 20 == 0) if query is None else is_query)
-    chosen = chosen.select(F.col(name(id_col)).cast("long").alias("id"), F.col(name(vector_col)).alias("v"))
-    chosen = chosen.filter(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("dim", F.size("v"))
-    q_blocks = max(1, -(-chosen.count() // block_rows))
-    c_blocks = max(1, -(-rows.count() // block_rows))
+    size = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if("asks").alias("asks")).first()
+    blocks = max(1, -(-size["asks"] // block_rows))
+    tasks = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    strips = max(1, min(-(-size["all"] // min(block_rows, STRIP_ROWS)), -(-tasks // blocks)))
+
+    coded = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("codes binary, scale double, error double").fields])
+
+    def encode(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            codes, scale, error = [b""] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                own, scale[at], error[at] = quantised(_vectors(batch.take(pa.array(at)), "v"))
+                for j, spot in enumerate(at.tolist()):
+                    codes[spot] = own[j].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(codes, pa.binary()), pa.array(scale), pa.array(error)], names=coded.names
+            )
+
+    rows = rows.mapInArrow(encode, coded)
     spot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = chosen.select("dim", spot(q_blocks).alias("qb"), every(c_blocks).alias("cb"), "id", "v")
-    right = rows.select("dim", every(q_blocks).alias("qb"), spot(c_blocks).alias("cb"), "id", "v")
+    kept = ["id", "v", "codes", "scale", "error"]
+    left = rows.filter("asks").select("dim", spot(blocks).alias("block"), every(strips).alias("strip"), F.lit(0).alias("side"), *kept)
+    right = rows.select("dim", every(blocks).alias("block"), spot(strips).alias("strip"), F.lit(1).alias("side"), *kept)
+    keys = ["dim", "block", "strip"]
     found = T.StructType.fromDDL("query_id bigint, vec_id bigint, score double")
 
-    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        q, i, s = [], [], []
-        if queries.num_rows and candidates.num_rows:
-            q, i, s = nearest_in_block(
-                queries.column("id").to_numpy(),
-                _vectors(queries, "v"),
-                candidates.column("id").to_numpy(),
-                _vectors(candidates, "v"),
-                k,
-            )
-        return pa.table(
-            {"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())}
-        )
+    def table(search: Search):
+        q, i, s = search.results()
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=found.names)
+
+    def search(batches):
+        here, asked, current = None, [], None  # the group, its queries so far, their search
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy() for c in [*keys, "side"]], 1)
+            cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                part, key = batch.slice(low, high - low), tuple(group[low, :3])
+                if key != here:
+                    if current is not None:
+                        yield table(current)
+                    here, asked, current = key, [], None
+                if group[low, 3] == 0:
+                    asked.append((part.column("id").to_numpy(), _vectors(part, "v")))
+                    continue
+                if current is None and asked:
+                    current = Search(np.concatenate([a for a, _ in asked]), np.concatenate([v for _, v in asked]), k)
+                    asked = []
+                if current is not None:
+                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int8)
+                    current.add(
+                        part.column("id").to_numpy(),
+                        _vectors(part, "v"),
+                        codes.reshape(part.num_rows, -1),
+                        part.column("scale").to_numpy(),
+                        part.column("error").to_numpy(),
+                    )
+        if current is not None:
+            yield table(current)
 
-    keys = ["dim", "qb", "cb"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, found)
+    parts = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(search, found)
     ranked = T.StructType.fromDDL("query_id bigint, rank int, vec_id bigint, score double")
 
     def merge(batches):
-        # of each query of this partition a heap of its k best, the worst on top
-        heaps: dict[int, list] = {}
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score"))
-            for q, i, s in zip(*columns, strict=True):
-                heap = heaps.setdefault(q, [])
-                same = next((t for t, x in enumerate(heap) if -x[1] == i), None)
-                if same is not None:
-                    if s > heap[same][0]:
-                        heap[same] = (s, -i)
-                        heapq.heapify(heap)
-                elif len(heap) < k:
-                    heapq.heappush(heap, (s, -i))
-                elif (s, -i) > heap[0]:
-                    heapq.heapreplace(heap, (s, -i))
-        q, r, i, s = [], [], [], []
-        for key, heap in heaps.items():
+        # of each query a heap of its k best, the worst on top; rows come by query
+        query, heap, out = None, [], []
+
+        def put(i, s):
+            same = next((t for t, x in enumerate(heap) if -x[1] == i), None)
+            if same is not None:
+                if s > heap[same][0]:
+                    heap[same] = (s, -i)
+                    heapq.heapify(heap)
+            elif len(heap) < k:
+                heapq.heappush(heap, (s, -i))
+            elif (s, -i) > heap[0]:
+                heapq.heapreplace(heap, (s, -i))
+
+        def flush():
             for rank, (score, minus) in enumerate(sorted(heap, reverse=True), 1):
-                q.append(key)
-                r.append(rank)
-                i.append(-minus)
-                s.append(score)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q, pa.int64()), pa.array(r, pa.int32()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
-            names=ranked.names,
-        )
-
-    return parts.repartition("query_id").mapInArrow(merge, ranked)
+                out.append((query, rank, -minus, score))
+            heap.clear()
+
+        def batch_of():
+            q, r, i, s = zip(*out, strict=True) if out else ((), (), (), ())
+            out.clear()
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            columns = [pa.array(x, kind) for x, kind in zip((q, r, i, s), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=ranked.names)
+
+        for batch in batches:
+            for q, i, s in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
+                if q != query:
+                    flush()
+                    query = q
+                put(i, s)
+            yield batch_of()
+        flush()
+        yield batch_of()
+
+    return parts.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, ranked)

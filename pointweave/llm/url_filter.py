@@ -16,6 +16,8 @@ from pointweave.llm._frames import ascii_lower, name
 MAX_BROADCAST_RULES = 200_000
 #: Hex digits of the short prefix: 4 bytes.
 PREFIX_DIGITS = 8
+#: Repeats of a row that are written out at once.
+REPEATS = 4096
 #: Parts into which a shuffled prefix is split.
 SALTS = 16
 
@@ -30,28 +32,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and every domain above it."""
-    labels = F.split(host, r"\.", -1)
-    return F.when(
-        host != "",
-        F.transform(
-            F.sequence(F.lit(1), F.size(labels)),
-            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes before all path prefixes of the lengths that rules have."""
-    heads = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length(path))
-    prefixes = F.transform(heads, lambda n: F.substring(path, F.lit(1), n))
-    return F.flatten(
-        F.transform(
-            _suffixes(host),
-            lambda s: F.transform(prefixes, lambda p: F.struct(F.sha2(F.concat(s, p), 256).alias("digest"))),
-        )
-    )
+def _expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """The host's suffixes of as many labels as rules have, before its path's prefixes of rules' lengths."""
+    parts = F.char_length(host) - F.char_length(F.translate(host, ".", "")) + 1
+    tails = [F.when((host != "") & (parts >= n), F.substring_index(host, ".", -n)) for n in labels]
+    heads = [F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]
+    # a null part makes a null expression
+    every = F.array(*[F.sha2(F.concat(tail, head), 256) for tail in tails for head in heads])
+    return F.filter(every, lambda x: x.isNotNull())
 
 
 def filter_urls(
@@ -70,7 +58,8 @@ def filter_urls(
     the rule, null without one) and ``verdict`` (``default`` without a rule).
 
     * A null URL, or one without ``://``, has an empty host and path and no rule.
-    * An empty host has no suffixes; rules with a null part or an unknown verdict
+    * A host or path of any length makes as many expressions as rules have numbers of
+      labels and lengths of paths. An empty host has no suffixes; rules with a null part or an unknown verdict
       are refused or ignored: null parts never fit, other verdicts raise.
     * Repeated rows come back as often as they came; other columns are not kept.
 
@@ -84,24 +73,28 @@ def filter_urls(
         .select(
             F.concat("host", "path").alias("rule"),
             F.char_length("path").alias("path_length"),
+            F.size(F.split("host", r"\.", -1)).alias("labels"),
             F.col("verdict"),
         )
         .withColumn("digest", F.sha2("rule", 256))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
     summary = clean.agg(
-        F.count(F.lit(1)), F.collect_set("path_length"), F.count_if(~F.col("verdict").isin("allow", "block"))
+        F.count(F.lit(1)),
+        F.collect_set("path_length"),
+        F.count_if(~F.col("verdict").isin("allow", "block")),
+        F.collect_set("labels"),
     ).first()
     if summary[2]:
         raise ValueError("a rule's verdict must be allow or block")
-    lengths = sorted(summary[1]) or [0]
+    lengths, labels = sorted(summary[1]) or [0], sorted(summary[3]) or [1]
 
     row = pages.select(F.col(name(id_col)).alias("_pw_id"), F.col(name(url_col)).alias("_pw_url"))
     once = row.groupBy("_pw_id", "_pw_url").agg(F.count(F.lit(1)).alias("_pw_n"))
     parts = once.withColumn("_pw_host", host_of(F.col("_pw_url"))).withColumn("_pw_path", path_of(F.col("_pw_url")))
     wide = parts.withColumn(
-        "_pw_e", F.explode_outer(_expressions(F.col("_pw_host"), F.col("_pw_path"), lengths))
-    ).withColumn("_pw_digest", F.col("_pw_e.digest")).drop("_pw_e")
+        "_pw_digest", F.explode_outer(_expressions(F.col("_pw_host"), F.col("_pw_path"), labels, lengths))
+    )
     wide = wide.withColumn("_pw_prefix", F.substring("_pw_digest", 1, PREFIX_DIGITS))
     known = clean.select(
         F.col("prefix").alias("_pw_p"), F.col("digest").alias("_pw_d"), "rule", F.col("verdict").alias("_pw_v")
@@ -124,7 +117,11 @@ def filter_urls(
         ),
     )
     best = met.groupBy("_pw_id", "_pw_url", "_pw_host", "_pw_path", "_pw_n").agg(F.min(rank).alias("_pw_best"))
-    again = best.withColumn("_pw_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_pw_n"))))
+    # repeats by two short arrays, so that none is as long as their number
+    n = F.col("_pw_n")
+    again = best.withColumn("_pw_i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / REPEATS))))
+    left = F.least(F.lit(REPEATS).cast("long"), n - F.col("_pw_i") * REPEATS)
+    again = again.withColumn("_pw_j", F.explode(F.sequence(F.lit(1).cast("long"), left)))
     return again.select(
         F.col("_pw_id").alias(id_col),
         F.col("_pw_url").alias(url_col),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointweave.llm import url_filter
-from pointweave.llm.ann import nearest_neighbours, quantised
+from pointweave.llm.ann import nearest_neighbours, quantised, tile_product
 from pointweave.llm.html_extract import Chain as HtmlChain
 from pointweave.llm.html_extract import block_features, extract_main_text, labelled_pages, leaf_blocks, main_text, trained_chain
 from pointweave.llm.langid import (
@@ -66,6 +66,11 @@ def test_url_filter(spark, monkeypatch, broadcast):
     out = filter_urls(pages, rules_frame(spark, rules))
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.collect()), key=str)
     assert got == sorted(((r[0], *plain_verdict(r[1], rules)) for r in rows), key=str)
+    # a host of many labels makes no more expressions than another; repeats come back in number
+    long = [(0, "http://" + "a." * 200_000 + "net/fr/x", "", "")] + [(1, "http://x.net/fr/", "", "")] * 7
+    monkeypatch.setattr(url_filter, "REPEATS", 3)
+    out = filter_urls(spark.createDataFrame(long, pages.schema), rules_frame(spark, rules)).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in out) == [(0, "net/fr/", "block")] + [(1, "net/fr/", "block")] * 7
     none = filter_urls(pages, rules_frame(spark, []))
     assert none.filter("verdict = 'allow' AND rule IS NULL").count() == len(rows)
     assert filter_urls(pages.limit(0), rules_frame(spark, rules)).count() == 0
@@ -97,13 +102,18 @@ def test_nearest_neighbours(spark):
         assert [got[q][r][1] for r in range(1, 8)] == [score[j] for j in want]
     assert got[580] == {1: (581, 4.0)} and len(got) == 26
     assert nearest_neighbours(df.limit(0)).count() == 0
+    few = nearest_neighbours(df.filter("vec_id < 4 OR vec_id = 200"), k=20, block_rows=2).collect()
+    assert [(r.query_id, r["rank"]) for r in sorted(few, key=lambda r: (r.query_id, r["rank"]))] == [
+        (q, n) for q in (0, 200) for n in range(1, 5)
+    ]
 
 
 def test_quantisation_bound():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(40, 24)), rng.normal(size=(50, 24)) * rng.uniform(0.01, 100, (50, 1))
     (qa, sa, ea), (qb, sb, eb) = quantised(a), quantised(b)
-    got = (qa @ qb.T) * sa[:, None] * sb
+    assert qa.dtype == qb.dtype == np.int8
+    got = tile_product(qa, qb) * sa[:, None] * sb
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     assert (np.abs(got - a @ b.T) <= ea[:, None] * nb + (na + ea)[:, None] * eb).all()
 
