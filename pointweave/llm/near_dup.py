@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from pointweave.llm._frames import forget, join_counted, materialize, name
 from pointweave.llm._text import BLANK_BYTES, shingles, steps, words
-from pointweave.llm.components import connected_components
+from pointweave.llm.components import connected_components, merged_components
 
 #: Trees, and minhashes that order each. A pair at similarity 0.75 misses the two
 #: leading minhashes of all twelve trees with probability (1 - 0.75**2)**12 = 5e-5.
@@ -429,11 +429,14 @@ def _settled(held: DataFrame, roots: DataFrame, texts: DataFrame, size: int, sha
             [*[batch.column(c).take(at) for c in kept], *[pa.array(x.astype(np.int32)) for x in extra]], names=schema.names
         )
 
+    kind = held.schema["node"].dataType
+    links = T.StructType([T.StructField(c, kind) for c in "ab"])
     placed = materialize(_grouped(rows, spread, schema))
+    if placed.isEmpty():
+        return held.sparkSession.createDataFrame([], links)
     ids = materialize(placed.select(F.col("node").alias("id")).distinct())
     few = ids.count() <= MAX_BROADCAST_ROWS
     own = texts.join(F.broadcast(ids) if few else ids, "id").join(placed.withColumnRenamed("node", "id"), "id")
-    kind = held.schema["node"].dataType
 
     def confirm(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
@@ -455,7 +458,6 @@ def _settled(held: DataFrame, roots: DataFrame, texts: DataFrame, size: int, sha
         ids = batch.column("id")
         return pa.table({"a": ids.take(pa.array(i[found])), "b": ids.take(pa.array(j[found]))})
 
-    links = T.StructType([T.StructField(c, kind) for c in "ab"])
     out = materialize(own.groupBy("region", "cell", "low", "high").applyInArrow(confirm, links))
     forget(placed)
     forget(ids)
@@ -476,6 +478,8 @@ def _confirmed(pairs: DataFrame, held: DataFrame, texts: DataFrame, size: int, s
     once, however many pairs it has. Best estimates come first; a pair whose ends are
     already linked there, through others, is not looked at.
     """
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sizes = held.select("node", "n_shingles").join(ids, "node").agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
     blocks = max(1, -(-sizes[0] // CONFIRM_NODES), -(-int(sizes[1] or 0) // CONFIRM_SHINGLES))
@@ -567,18 +571,14 @@ def near_duplicates(
     if repeats:
         texts = texts.distinct()
     held = _held(nodes.drop("digest", "n"))
-    links = links if links is not None else materialize(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    roots = None
-    for propose in (_neighbours, _across, None):
-        if propose is None:
-            fresh = _settled(held, roots, texts, size, share)
-        else:
-            pairs = _distinct(propose(held) if propose is _neighbours else propose(held, roots))
-            fresh = _confirmed(pairs, held, texts, size, share)
-            forget(pairs)
-        links = links.union(fresh)
-        forget(roots)
-        roots = connected_components(links)
+    pairs = _distinct(_neighbours(held))
+    fresh = _confirmed(pairs, held, texts, size, share)
+    roots = connected_components(fresh if links is None else links.union(fresh))
+    forget(pairs)
+    pairs = _distinct(_across(held, roots))
+    roots = merged_components(roots, _confirmed(pairs, held, texts, size, share))
+    forget(pairs)
+    roots = merged_components(roots, _settled(held, roots, texts, size, share))
     known = materialize(
         nodes.join(roots, "node", "left").select("digest", "n", F.coalesce("root", "node").alias("component_id"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointweave.llm import near_dup
 from pointweave.llm._text import BLANK_BYTES, shingles, words
-from pointweave.llm.components import connected_components
+from pointweave.llm.components import connected_components, merged_components
 from pointweave.llm.decontaminate import MAX_TABLE_WORDS, WuManber, find_contamination
 from pointweave.llm.line_dedup import drop_repeated_lines
 from pointweave.llm.near_dup import near_duplicates
@@ -288,7 +288,18 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     out = connected_components(spark.createDataFrame(chain, "a long, b long")).collect()
     assert {(r.node, r.root) for r in out} == {(k, 0) for k in range(41)} | {(k, 100) for k in (100, 101, 102)}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    empty = spark.createDataFrame([], "a long, b long")
+    assert connected_components(empty).count() == 0
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]
+    frame_of = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    parts = [connected_components(frame_of(links[:90]))]
+    for more in (links[90:91], [], links[91:]):
+        parts.append(merged_components(parts[-1], frame_of(more)))
+    for k, n in ((1, 91), (2, 91), (3, 240)):
+        used = frame_of(links[:n])
+        assert {(r.node, r.root) for r in parts[k].collect()} == {(r.node, r.root) for r in connected_components(used).collect()}
+    assert {(r.node, r.root) for r in merged_components(connected_components(empty), frame_of([(2, 1)])).collect()} == {(1, 1), (2, 1)}
 
 
 # -- packing --------------------------------------------------------------------------
