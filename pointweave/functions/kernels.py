@@ -143,6 +143,29 @@ def erf(x: str) -> str:
     return f"(1e0 - {polynomial((0.0, *ERF_TERMS), t)} * exp(-({x} * {x})))"
 
 
+#: Pieces of the precise error function: their width, their number, and the degree of each.
+PIECE, PIECES, PIECE_DEGREE = 0.5, 12, 18
+
+
+def _erf_piece(c: float) -> list[float]:
+    """Taylor coefficients of erf at c. Those of exp(-x*x) obey (n + 1) g[n + 1] = -2 c g[n] - 2 g[n - 1]."""
+    g = [math.exp(-c * c)]
+    g.append(-2.0 * c * g[0])
+    for n in range(1, PIECE_DEGREE):
+        g.append(-2.0 * (c * g[n] + g[n - 1]) / (n + 1))
+    return [math.erf(c), *(2.0 / math.sqrt(math.pi) * g[n] / (n + 1) for n in range(PIECE_DEGREE))]
+
+
+def erf_precise(x: str) -> str:
+    """The error function of any argument, to 1e-15."""
+    size = f"abs({x})"
+    rows = [f"WHEN {x} IS NULL THEN NULL", f"WHEN {size} >= {num(PIECE * PIECES)} THEN sign({x})"]
+    for k in reversed(range(PIECES)):
+        c = PIECE * (k + 0.5)
+        rows.append(f"WHEN {size} >= {num(PIECE * k)} THEN sign({x}) * {polynomial(_erf_piece(c), f'({size} - {num(c)})')}")
+    return f"CASE {' '.join(rows)} ELSE {x} END"
+
+
 def erf_at(x: float) -> float:
     t = 1.0 / (1.0 + ERF_SCALE * x)
     return 1.0 - sum(c * t ** (k + 1) for k, c in enumerate(ERF_TERMS)) * math.exp(-x * x)

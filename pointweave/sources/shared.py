@@ -20,10 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which goes when the application ends."""
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    The lineage ends there, so a lost executor costs no recomputation. The
+    folder goes when the application ends, or by ``forget``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pointweave-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._pointweave_path = path
+    return back
+
+
+def forget(df: DataFrame | None) -> None:
+    """Remove what ``written`` wrote for ``df``, which nothing may read any more."""
+    path = getattr(df, "_pointweave_path", None)
+    if path:
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

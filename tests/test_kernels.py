@@ -92,3 +92,12 @@ def test_errors():
     with pytest.raises(AssertionError):
         resolve_box([1.0, 2.0], 3)
     assert resolve_box(2, 3) == (2.0, 2.0, 2.0)
+
+
+def test_erf_precise(spark):
+    from pointweave.functions.kernels import erf_precise
+
+    xs = [-7.0, -6.0, -3.3, -0.5, -1e-9, 0.0, 1e-300, 0.1, 0.4999, 0.5, 1.7, 2.0, 4.6, 5.999, 6.0, 50.0]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(xs)] + [(99, None)], "k int, x double")
+    got = {r.k: r.v for r in df.selectExpr("k", erf_precise("x") + " AS v").collect()}
+    assert got[99] is None and all(abs(got[k] - math.erf(x)) < 4e-16 for k, x in enumerate(xs))
