@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointweave.sources.shared import forget, shared_dir
+from pointweave.sources.shared import written as materialize
+
+__all__ = ["append_columns", "ascii_lower", "forget", "join_counted", "materialize", "name", "shared_dir"]
+
 #: ``translate`` arguments that lower-case A-Z and leave every other character.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: The characters of ``[\x20\x09-\x0D]``.
-BLANKS = " \t\n\x0b\x0c\r"
 #: A key with more than 1 / HEAVY_SHARE of all rows is heavy, so at most
 #: HEAVY_SHARE keys are: what is broadcast for them has that bound.
 HEAVY_SHARE = 4096
@@ -28,50 +28,6 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset, as in tests on one machine, is a temporary folder
-    made and set; on a cluster an unset folder is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointweave-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs no recomputation. The
-    folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pointweave-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._pointweave_path = path
-    return back
-
-
-def forget(df: DataFrame | None) -> None:
-    """Remove what ``materialize`` wrote for ``df``, which nothing may read any more."""
-    path = getattr(df, "_pointweave_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
     """Join ``left`` to ``right``, whose ``keys`` are unique and whose column
     ``count`` says how many rows of ``left`` each key has.

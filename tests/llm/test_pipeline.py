@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions on a small table, and its registration."""
 
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -39,3 +41,57 @@ def test_stages(spark, last):
     ids = dict(zip(rows[4], reference_ids([r.text for r in rows[4].values()]), strict=True))
     assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(x) + 1 for i, x in ids.items()}
     assert sum(p.length for p in pieces) == sum(len(x) + 1 for x in ids.values())
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Nulls in all columns, empty and long texts, repeated rows, and columns with clashing names."""
+    folder = tmp_path_factory.mktemp("odd")
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau".split()
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randint(0, 50)) for _ in range(n))
+    passage, line = text(30), "a line that many share"
+    rows = [(k, text(60) + "\n" + line if k < 12 else text(60)) for k in range(30)]
+    rows += [(100, rows[3][1]), (3, rows[3][1]), (3, rows[3][1]), (101, passage), (102, "vile " * 40 + text(20))]
+    rows += [(103, None), (104, ""), (None, text(40)), (None, None), (105, text(30_000)), (106, " \n \n")]
+    docs = [(i, t, "xx", "s", len(t or ""), 1, "kept?", 0.5) for i, t in rows] + [(None,) * 8]
+    kinds = "doc_id long, text string, lang string, source string, n_chars int, sequence_id int, kept string, p_toxic double"
+    spark.createDataFrame(docs, kinds).write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, 1, 0) for k in range(20)] + [(102, 0, 1), (102, 0, 1), (None, 1, 1), (5, None, None), (999, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    bench = [("b1", passage), ("b2", None), ("b3", ""), (None, text(20))]
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_run_on_odd_rows(spark, odd_tables):
+    pieces = corpus_pipeline.run(spark, odd_tables).collect()
+    ids = {p.doc_id for p in pieces}
+    assert ids >= {0, 3, 29, 103, 104, 105, 106, None} and not ids & {100, 101}
+    assert sum(p.doc_id == 3 for p in pieces) == 1  # three repeats of one row
+    assert sum(p.doc_id is None for p in pieces) == 3
+    assert {p.doc_tokens for p in pieces if p.doc_id in (103, 104)} == {1}
+    seen = {}
+    for p in pieces:
+        seen.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in seen.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
+        assert own[-1][0] + own[-1][1] <= 1024
+
+
+def test_stages_of_an_empty_table(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, odd_tables)
+        assert out.count() == 0 and (k == 4 or out.columns == docs.columns)
+
+
+def test_each_stage_keeps_odd_rows(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    rest = ["lang", "source", "sequence_id", "kept", "p_toxic"]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, odd_tables)
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        assert out.filter("doc_id IS NULL").count() == 3
+        assert {tuple(r) for r in out.select(*rest).collect()} <= {tuple(r) for r in docs.select(*rest).collect()}
