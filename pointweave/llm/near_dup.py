@@ -10,6 +10,7 @@ components that still share a region. Links are confirmed on full shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -478,11 +479,12 @@ def _confirmed(pairs: DataFrame, held: DataFrame, texts: DataFrame, size: int, s
     once, however many pairs it has. Best estimates come first; a pair whose ends are
     already linked there, through others, is not looked at.
     """
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs.select("a", "b")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sizes = held.select("node", "n_shingles").join(ids, "node").agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
-    blocks = max(1, -(-sizes[0] // CONFIRM_NODES), -(-int(sizes[1] or 0) // CONFIRM_SHINGLES))
+    size_of = held.agg(F.count(F.lit(1)), F.avg("n_shingles")).first()
+    most = min(2 * n, size_of[0])  # documents that pairs can have
+    blocks = max(1, -(-most // CONFIRM_NODES), math.ceil(most * size_of[1] / CONFIRM_SHINGLES))
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     low, high = F.least(spot("a"), spot("b")), F.greatest(spot("a"), spot("b"))
     keyed = pairs.withColumn("block", low * blocks + high)
