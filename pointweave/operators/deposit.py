@@ -6,6 +6,8 @@ the cell, final sums. Grids are sparse: a row for each cell that got something.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +20,22 @@ from pointweave.functions.text import num, total
 #: Added to a cell's weight before a sum is divided by it.
 MEAN_EPS = 1e-10
 STRUCTURES = ("separable", "isotropic", "covariant")
+#: Grids of up to so many cells are summed by the last axis's base cell first.
+FOLDED_CELLS = 1 << 24
 
 
 def _sum_cells(rows: DataFrame, dim: int, fields: list[str], averaged: list[bool]) -> DataFrame:
     """rows: i?, share (w times the cell's part) and fields; one aggregate by cell."""
     sums = [F.sum("share").alias("w")]
     sums += [F.sum(F.col(f) * F.col("share")).alias(f"f{k}") for k, f in enumerate(fields)]
-    out = rows.groupBy(*[f"i{a}" for a in AXES[:dim]]).agg(*sums)
+    return _means(rows.groupBy(*[f"i{a}" for a in AXES[:dim]]).agg(*sums), averaged)
+
+
+def _means(cells: DataFrame, averaged: list[bool]) -> DataFrame:
     for k, mean in enumerate(averaged):
         if mean:
-            out = out.withColumn(f"f{k}", F.expr(f"f{k} / (w + {num(MEAN_EPS)})"))
-    return out
+            cells = cells.withColumn(f"f{k}", F.expr(f"f{k} / (w + {num(MEAN_EPS)})"))
+    return cells
 
 
 def _inside(rows: DataFrame, axes, grid, periodic: bool) -> DataFrame:
@@ -55,12 +62,15 @@ def deposit_fixed(
     Cells outside an open box are dropped with their weight; ``clip`` moves a cic
     particle inside instead, which keeps it. Per axis the cell and its weight come
     from one small array, so weights are computed once before the axes multiply.
+    On grids of up to FOLDED_CELLS cells particles are not spread along the last axis:
+    the sums for its offsets are taken by base cell, and these few rows are spread.
     """
     if scheme not in STENCILS:
         raise ValueError(f"unknown stencil {scheme!r}: expected one of {', '.join(STENCILS)}")
     dim = len(grid)
     axes = AXES[:dim]
     base, weights = STENCILS[scheme]
+    folded = math.prod(grid) <= FOLDED_CELLS
     rows = particles
     for a, n, length in zip(axes, grid, box, strict=True):
         rows = rows.withColumn("_s", F.expr(f"{a} * {num(n / length)}"))
@@ -68,15 +78,37 @@ def deposit_fixed(
             rows = rows.withColumn("_s", F.expr(f"least(greatest(_s - 0.5e0, 0e0), {num(n - 1 - 1e-6)}) + 0.5e0"))
         rows = rows.withColumn("_b", F.expr(f"CAST({base.format(s='_s')} AS INT)"))
         rows = rows.withColumn("_d", F.expr("_s - 0.5e0 - _b"))
+        if folded and a == axes[-1]:
+            rows = rows.withColumns({f"_w{k}": F.expr(w.format(d="_d")) for k, w in enumerate(weights.values())})
+            rows = rows.withColumnRenamed("_b", "_last").drop("_s", "_d")
+            continue
         cells = ", ".join(f"named_struct('i', _b + ({o}), 'w', {w.format(d='_d')})" for o, w in weights.items())
         rows = rows.withColumn(f"_c{a}", F.expr(f"array({cells})")).drop("_s", "_b", "_d")
-    for a, n in zip(axes, grid, strict=True):
+    spread = axes[:-1] if folded else axes
+    for a, n in zip(spread, grid, strict=False):
         # the outer form: of any other one the optimizer makes a filter that computes all weights once more
         rows = rows.withColumn(f"_c{a}", F.explode_outer(f"_c{a}"))
         rows = rows.withColumns({f"i{a}": F.col(f"_c{a}.i"), f"_w{a}": F.col(f"_c{a}.w")}).drop(f"_c{a}")
         rows = _inside(rows, [a], [n], periodic)
-    share = F.expr(" * ".join(["w", *[f"_w{a}" for a in axes]]))
-    return _sum_cells(rows.withColumn("share", share), dim, fields, averaged)
+    share = F.expr(" * ".join(["w", *[f"_w{a}" for a in spread]]))
+    rows = rows.withColumn("share", share)
+    if not folded:
+        return _sum_cells(rows, dim, fields, averaged)
+    # sums for each offset of the last axis, by its base cell; then its cells from few rows
+    count = len(weights)
+    sums = [F.sum(F.col("share") * F.col(f"_w{k}")).alias(f"w_{k}") for k in range(count)]
+    for j, f in enumerate(fields):
+        sums += [F.sum(F.col(f) * F.col("share") * F.col(f"_w{k}")).alias(f"f{j}_{k}") for k in range(count)]
+    base = rows.groupBy(*[f"i{a}" for a in spread], "_last").agg(*sums)
+    names = ["w", *[f"f{j}" for j in range(len(fields))]]
+    cells = ", ".join(
+        f"named_struct('i', _last + ({o}), " + ", ".join(f"'{c}', {c}_{k}" for c in names) + ")" for k, o in enumerate(weights)
+    )
+    last = f"i{axes[-1]}"
+    cells = base.select(*[f"i{a}" for a in spread], F.explode_outer(F.expr(f"array({cells})")).alias("_c"))
+    cells = cells.select(*[f"i{a}" for a in spread], F.col("_c.i").alias(last), *[F.col(f"_c.{c}").alias(c) for c in names])
+    cells = _inside(cells, [axes[-1]], [grid[-1]], periodic)
+    return _means(cells.groupBy(*[f"i{a}" for a in axes]).agg(*[F.sum(c).alias(c) for c in names]), averaged)
 
 
 def _support_limit(box: tuple[float, ...], support: float) -> float:

@@ -77,6 +77,23 @@ def test_fixed_deposits_conserve_weight(spark, scheme):
     assert np.isclose(out.f0.sum(), (pdf.w * pdf.s).sum())
 
 
+@pytest.mark.parametrize("periodic", [True, False])
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_folded_deposits_equal_the_others(spark, monkeypatch, dim, periodic):
+    from pointweave.operators import deposit
+
+    df, _ = _points(spark, dim=dim)
+    cloud = ParticleFrame.of(df, "xyz"[:dim], weights="w", boxsize=1.0 if periodic else None)
+    extent = None if periodic else [(0.0, 1.0)] * dim
+    keys = [f"i{a}" for a in "xyz"[:dim]]
+    found = []
+    for cells in (deposit.FOLDED_CELLS, 0):
+        monkeypatch.setattr(deposit, "FOLDED_CELLS", cells)
+        out = cloud.deposit(["s", "weights"], [True, False], 5, extent, kernel_name="pcs", return_weights=True)
+        found.append(out.toPandas().sort_values(keys).reset_index(drop=True))
+    assert found[0][keys].equals(found[1][keys]) and np.allclose(found[0], found[1])
+
+
 @pytest.mark.parametrize("structure", ["separable", "isotropic", "covariant"])
 @pytest.mark.parametrize("dim", [2, 3])
 def test_adaptive_deposits_conserve_weight(spark, structure, dim):
