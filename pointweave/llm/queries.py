@@ -96,7 +96,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind in KINDS]
     return out.select(
-        "doc_id", *counts, F.sha2(_spans_text("base_spans"), 256).alias("base_sha256"), _spans_text("spans").alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(_spans_text("base_spans"), 256).alias("base_sha256"),
+        _spans_text("spans").alias("spans"),
+        (F.size("spans") > 0).alias("personal"),
     )
 
 
