@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -217,3 +219,60 @@ def test_streaming_deposit(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert np.isclose(spark.table("grid").toPandas().w.sum(), pdf.w.sum())
+
+
+def test_neighbours_of_a_dense_corner(spark):
+    """Nearly all points lie closer together than any cell of a tree of fixed depth: work must not grow with their square."""
+    rng = np.random.default_rng(5)
+    p = rng.random((30_000, 2)) * np.where(np.arange(30_000) % 100, 1e-12, 1.0)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]}))
+    began = time.monotonic()
+    edges = knn.nearest(df, df.withColumnRenamed("id", "qid"), 8, 2).toPandas().sort_values(["qid", "rank"])
+    assert time.monotonic() - began < 90  # by pairs of the corner's points it takes minutes
+    ask = np.concatenate([np.arange(0, len(p), 150), np.arange(1, len(p), 150)])
+    ids, dist = _brute(p, p[ask], 8)
+    assert len(edges) == 8 * len(p)
+    assert (edges.nid.to_numpy().reshape(-1, 8)[ask] == ids).mean() > 0.999
+    assert np.allclose(edges.dist.to_numpy().reshape(-1, 8)[ask], dist, rtol=1e-9, atol=0)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+@pytest.mark.parametrize("periodic", [True, False])
+def test_neighbours_in_many_tiles(spark, monkeypatch, dim, periodic):
+    """A lattice with copies, whose ties go to the smaller id, and a cluster; more queries than a task takes; columns that come along."""
+    for what, value in (("BROADCAST_POINTS", 0), ("TILE_POINTS", 40), ("TASK_QUERIES", 50), ("CROWDED", 4), ("AT_ONCE", 5000), ("MANY", 3)):
+        monkeypatch.setattr(knn, what, value)
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.integers(0, 8, (500, dim)) / 8, rng.random((200, dim)) ** 9 * 0.99, np.full((30, dim), 0.375)])
+    p = p[rng.permutation(len(p))]
+    pdf = pd.DataFrame({"id": np.arange(len(p))} | {a: p[:, j] for j, a in enumerate("xyz"[:dim])} | {"w": np.arange(len(p)) * 2.0})
+    q = np.concatenate([p, np.full((120, dim), 0.5), rng.random((20, dim)) if periodic else rng.random((20, dim)) * 9 - 4])
+    asked = pd.DataFrame({"qid": np.arange(len(q))} | {a: q[:, j] for j, a in enumerate("xyz"[:dim])})
+    box = (1.0,) * dim if periodic else None
+    found = knn.nearest(spark.createDataFrame(pdf), spark.createDataFrame(asked), 6, dim, box, ["w"])
+    edges = found.toPandas().sort_values(["qid", "rank"])
+    d = q[:, None, :] - p[None]
+    if periodic:
+        t = d + 0.5
+        d = t - np.floor(t) - 0.5
+    d2 = sum(d[:, :, j] * d[:, :, j] for j in range(dim))
+    ids = np.lexsort((np.broadcast_to(np.arange(len(p)), d2.shape), d2), axis=1)[:, :6]
+    assert len(edges) == 6 * len(q)
+    assert (edges.nid.to_numpy().reshape(-1, 6) == ids).all()
+    assert (edges["rank"].to_numpy().reshape(-1, 6) == np.arange(1, 7)).all()
+    assert (edges.dist.to_numpy().reshape(-1, 6) == np.sqrt(np.take_along_axis(d2, ids, axis=1))).all()
+    assert (edges.dx.to_numpy().reshape(-1, 6) == np.take_along_axis(d[:, :, 0], ids, axis=1)).all()
+    assert (edges.n_w == edges.nid * 2.0).all()
+
+
+def test_neighbours_without_coordinates(spark, monkeypatch):
+    """Such points are found by nobody else; such queries have the smallest ids, as all their distances are null."""
+    monkeypatch.setattr(knn, "BROADCAST_POINTS", 0)
+    rows = [(i, None if i == 1 else float("nan") if i == 2 else i / 10, 0.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    found = knn.nearest(df, df.withColumnRenamed("id", "qid"), 3, 2).collect()
+    by = {(r.qid, r["rank"]): (r.nid, r.dist) for r in found}
+    assert len(found) == len(by) == 120
+    assert [by[q, r] for q in (1, 2) for r in (1, 2, 3)] == [(0, None), (1, None), (2, None)] * 2
+    assert [by[0, r][0] for r in (1, 2, 3)] == [0, 3, 4]
+    assert by[10, 2] == (9, pytest.approx(0.1))
