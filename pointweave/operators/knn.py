@@ -200,8 +200,11 @@ def _first_of_places(x: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[np.arange(len(x)) - first[place] < k])
 
 
-def _search(p: np.ndarray, q: np.ndarray, k: int, box, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, d2) of each query's k nearest points no farther than the root of ``most``; ties to the smaller row."""
+def _search(p: np.ndarray, q: np.ndarray, k: int, box, most: np.ndarray, sift=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, d2) of each query's k nearest points no farther than the root of ``most``; ties to the smaller row.
+
+    ``sift`` gets rows of queries with bounds of their k-th d2 and says which are wanted; blocks without any are left out.
+    """
     none = np.zeros(0, dtype=np.int64)
     if not len(p) or not len(q):
         return none, none, np.zeros(0)
@@ -242,6 +245,9 @@ def _search(p: np.ndarray, q: np.ndarray, k: int, box, most: np.ndarray) -> tupl
                 for at in range(0, len(asked), step):
                     d2 = distances(asked[at : at + step], node[at : at + step, None])
                     limit[at : at + step] = np.minimum(limit[at : at + step], np.partition(d2, k - 1, axis=2)[:, :, k - 1])
+            if sift is not None:
+                keep = sift(asked.ravel(), limit.ravel()).reshape(asked.shape).any(axis=1)
+                blocks, asked, limit, low, high = blocks[keep], asked[keep], limit[keep], low[keep], high[keep]
         top = limit.max(axis=1) * _WIDER
         block, node = np.arange(len(asked)), np.zeros(len(asked), dtype=np.int64)
         for lo, hi in zip(lows[1:], highs[1:], strict=True):
@@ -364,7 +370,15 @@ def _tiled(own: DataFrame, asked: DataFrame, k: int, dim: int, box, sides) -> Da
         most = np.full(len(u), np.inf)
         if mode == "asked":
             most[place] = queries.column("most").to_numpy()
-        query, point, d2 = _search(p, u, k, box, most)
+        here = queries.column("tile")[0].as_py() if len(x) else -1
+        sure = np.zeros(len(u), dtype=bool)
+
+        def open_ones(rows, bound):
+            row, tile = tiles.within(_inside(u[rows], box), bound, box)
+            sure[rows] = np.bincount(row[tile != here], minlength=len(rows)) == 0
+            return ~sure[rows]
+
+        query, point, d2 = _search(p, u, k, box, most, open_ones if mode == "open" else None)
         count = np.bincount(query, minlength=len(u))
         start = np.cumsum(count) - count
         chosen = np.arange(len(x))
@@ -372,9 +386,9 @@ def _tiled(own: DataFrame, asked: DataFrame, k: int, dim: int, box, sides) -> Da
             reach = np.full(len(u), np.inf)
             full = count == k
             reach[full] = d2[start[full] + k - 1]
+            reach[sure] = -1.0
             row, tile = tiles.within(_inside(u, box), reach, box)
-            other = tile != (queries.column("tile")[0].as_py() if len(x) else -1)
-            row, tile = row[other], tile[other]
+            row, tile = row[tile != here], tile[tile != here]
             beyond = np.bincount(row, minlength=len(u)) > 0
             chosen = np.flatnonzero(beyond[place] == (mode == "open"))
         each = count[place[chosen]]
